@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_topk, html_text, piece_codec, simhash, substring_dedup, token_ids
+from lodestone.llm import decontaminate, exact_topk, html_text, language, piece_codec, quality, simhash, substring_dedup, token_ids, toxicity
 from lodestone.llm.common import shared_dir, table
 
 
@@ -28,17 +28,40 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page; doc_id is null for pages and page_id for documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    found = language.identify(language.prepared(docs, pages), language.train(docs))
+    ids = [F.when(F.col("kind") == kind, F.col("id")).alias(name) for kind, name in (("document", "doc_id"), ("page", "page_id"))]
+    return found.select(*ids, "lang", "prob", "text_lang")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_ids.write_tokens(token_ids.encode_sorted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
     return token_ids.with_crc(token_ids.read_tokens(spark, path))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_html_text, op3_simhash, op4_substring_dedup, op7_token_ids, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_html_text, op3_simhash, op4_substring_dedup, op5_quality, op6_language, op7_token_ids, op8_toxicity, op9_decontaminate, op10_piece_codec)}
 
 SQL = {
     "op1_exact_topk": """

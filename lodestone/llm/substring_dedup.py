@@ -408,14 +408,17 @@ def _finish(n_buckets: int, width: int, gram: int, texts: bool):
                 g = gone[lo:hi]
                 kept = block.data[lo:hi][~g].tobytes()
                 spans = int((g[1:] & ~g[:-1]).sum() + (len(g) > 0 and g[0]))
-                out.append((int(i), int(hi - lo), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            yield _table(out, pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+                out.append((int(i), int(hi - lo), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None, hashlib.sha256(block.data[lo:hi].tobytes()).hexdigest() if texts else None, kept.decode("utf-8", "ignore") if texts else None))
+            yield _table(out, pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("source_sha256", pa.string()), ("kept_text", pa.string())]))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept holds the rest's bytes if texts is set.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row.
+
+    If texts is set, also kept (the remaining bytes), kept_text (these as text, without the halves of characters that a
+    cut splits) and source_sha256 (of the whole text).
 
     Null text counts as empty. Rows with one doc_id count as one document for what is smaller, so they remove nothing
     of each other; each keeps its own row. A null doc_id comes before all others. Texts under `width` bytes keep all.
@@ -436,7 +439,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
     contexts = known.mapInArrow(_send_contexts(n, width, gram), flat)
     found = stash(_gathered(contexts.groupBy("bucket").applyInArrow(_answer_contexts(width), flat)))
     both = blocks.join(checked(anchors.withColumnRenamed("answers", "anchors")), "block", "left").join(checked(found.withColumnRenamed("answers", "found")), "block", "left")
-    done = both.mapInArrow(_finish(n, width, gram, texts), "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = both.mapInArrow(_finish(n, width, gram, texts), "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, source_sha256 string, kept_text string")
     kind = dict(docs.dtypes)["doc_id"]
     doc_id = F.when(F.col("row_id") == -(2**63), F.lit(None)).otherwise(F.col("row_id")).cast(kind).alias("doc_id")
-    return done.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else []))
+    return done.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "source_sha256", "kept_text"] if texts else []))
