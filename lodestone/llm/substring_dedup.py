@@ -14,7 +14,8 @@ leftmost on ties. So suffixes need comparing only where they share an anchor, an
 4. each block removes what the answers cover.
 
 Blobs that cross the shuffle are per block and bucket, so a string that a third of all documents hold costs one
-entry per block. Strings are grouped by a 64-bit hash, then compared byte by byte.
+entry per block. Strings are grouped by a 64-bit hash; where a second one shows that a group holds different
+strings, they are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -35,31 +36,46 @@ GRAM = 24
 BLOCK_BYTES = 4 << 20
 HOT = 512  # documents that hold an anchor, from which its strings are dealt by their own hash
 _MULT = 0x9E3779B97F4A7C15
+_OTHER = 0xD6E8FEB86659FD93
 _POS = np.uint64((1 << 32) - 1)
 
 
-def rolling(data: np.ndarray, k: int) -> np.ndarray:
+def _in_pieces(f, data: np.ndarray, k: int, size: int = 1 << 15) -> np.ndarray:
+    """f over overlapping pieces that fit a processor's cache; f maps n values to n - k + 1."""
+    n = max(0, len(data) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for lo in range(0, n, size):
+        out[lo : lo + size] = f(data[lo : lo + size + k - 1], k)
+    return out
+
+
+def rolling(data: np.ndarray, k: int, mult: int = _MULT) -> np.ndarray:
     """A 64-bit hash of every k bytes in a row (data: uint8)."""
-    n = len(data) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, size, cur = _MULT, 1, data.astype(np.uint64) + np.uint64(1)
+    return _in_pieces(lambda d, k: _rolling(d, k, mult), data, k)
+
+
+def _rolling(data: np.ndarray, k: int, mult: int) -> np.ndarray:
+    power, size, cur = mult, 1, data.astype(np.uint64) + np.uint64(1)
     out, have = None, 0
     while True:
         if k & size:
-            out = cur[: len(data)] if out is None else out[: len(out) - size] * np.uint64(pow(_MULT, size, 1 << 64)) + cur[have : have + len(out) - size]
+            out = cur if out is None else out[: len(out) - size] * np.uint64(pow(mult, size, 1 << 64)) + cur[have : have + len(out) - size]
             have += size
         if have == k:
             break
         cur = cur[:-size] * np.uint64(power) + cur[size:]
         power = power * power % (1 << 64)
         size *= 2
-    h = out[:n]
+    h = out[: len(data) - k + 1]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    return _in_pieces(_least_in, x, w)
+
+
+def _least_in(x: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while size * 2 <= w:
         x = np.minimum(x[:-size], x[size:])
@@ -216,11 +232,11 @@ class Levels:
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        return k[new], self.combine.reduceat(values[order], new) if len(new) else values[:0]
+        return k[new], self.combine.reduceat(values[order], new, axis=0) if len(new) else values[:0]
 
     def find(self, keys: np.ndarray, none: int) -> np.ndarray:
         """Merge-scan: the combined value of each key over all levels."""
-        out = np.full(len(keys), none, np.int64)
+        out = np.full((len(keys), *self.levels[0][1].shape[1:]), none, np.int64) if self.levels else np.full(len(keys), none, np.int64)
         for k, v in self.levels:
             i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
             hit = k[i] == keys
@@ -322,6 +338,9 @@ def _send_contexts(n_buckets: int, width: int, gram: int):
     return run
 
 
+_NONE = np.iinfo(np.int64).max
+
+
 def _strings(text: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     size = n.astype(np.int64) + width - 1
     return _spread(np.cumsum(size) - size, n.astype(np.int64))
@@ -335,47 +354,47 @@ def _answer_contexts(width: int):
         index, kept = Levels(np.minimum), []
         for row in _rows(batches):
             text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-            keys = rolling(text, width)[_strings(text, n, width)]
-            index.add(keys, np.repeat(doc, n))
-            kept.append(row)
-        clash = _clashes(kept, width)
-        for row in kept:
+            at, docs = _strings(text, n, width), np.repeat(doc, n)
+            keys, other = rolling(text, width)[at], rolling(text, width, _OTHER)[at].astype(np.int64)
+            # the least and (by its complement) the greatest second hash show keys that stand for different strings
+            index.add(keys, np.stack([docs, other, ~other], 1))
+            kept.append((row, keys))
+        clashing = [k[(v[:, 1] != ~v[:, 2])] for k, v in index.levels]
+        clash = np.unique(np.concatenate([*clashing, _between(index.levels)])) if index.levels else np.zeros(0, np.uint64)
+        found = _by_bytes([row for row, _ in kept], clash, width) if len(clash) else {}
+        for row, keys in kept:
             text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-            at = _strings(text, n, width)
-            keys = rolling(text, width)[at]
-            least = index.find(keys, _NONE)
-            for i in np.flatnonzero(np.isin(keys, clash[0])) if len(clash[0]) else ():
-                least[i] = clash[1][text[at[i] : at[i] + width].tobytes()]
+            least = index.find(keys, _NONE)[:, 0]
+            if len(clash):
+                at = _strings(text, n, width)
+                for i in np.flatnonzero(np.isin(keys, clash)):
+                    least[i] = found[text[at[i] : at[i] + width].tobytes()]
             yield _table([(int(key[0].as_py()), row["block"], _pack(np.packbits(least < np.repeat(doc, n))))], _SENT)
 
     return run
 
 
-def _clashes(kept: list[dict], width: int) -> tuple[np.ndarray, dict[bytes, int]]:
-    """Hashes under which different strings lie, and the least document of each such string.
+def _between(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Keys whose second hash differs from one level to another."""
+    out = [np.zeros(0, np.uint64)]
+    for i, (k, v) in enumerate(levels):
+        for k2, v2 in levels[i + 1 :]:
+            j = np.minimum(np.searchsorted(k, k2), len(k) - 1)
+            out.append(k2[(k[j] == k2) & (v[j, 1] != v2[:, 1])])
+    return np.concatenate(out)
 
-    A second, independent hash finds them; equal pairs of hashes over different bytes are left to 128 bits.
-    """
-    firsts: list[np.ndarray] = []
-    for row in kept:
-        text, n, _ = _unpack(row["blob"], "u1", "<u4", "<i8")
-        at = _strings(text, n, width)
-        firsts.append(np.stack([rolling(text, width)[at], rolling(text[::-1], width)[::-1][at]], 1))
-    if not firsts:
-        return np.zeros(0, np.uint64), {}
-    both = np.concatenate(firsts)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    a, b = both[order, 0], both[order, 1]
-    bad = np.unique(a[1:][(a[1:] == a[:-1]) & (b[1:] != b[:-1])])
+
+def _by_bytes(rows: list[dict], clash: np.ndarray, width: int) -> dict[bytes, int]:
+    """The least document of each string whose key stands for several."""
     found: dict[bytes, int] = {}
-    for row in kept if len(bad) else ():
+    for row in rows:
         text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
         at, docs = _strings(text, n, width), np.repeat(doc, n)
         keys = rolling(text, width)[at]
-        for i in np.flatnonzero(np.isin(keys, bad)):
+        for i in np.flatnonzero(np.isin(keys, clash)):
             s = text[at[i] : at[i] + width].tobytes()
             found[s] = min(found.get(s, _NONE), int(docs[i]))
-    return bad, found
+    return found
 
 
 def _covered(row: dict, n_buckets: int, width: int, gram: int) -> tuple[Block, np.ndarray]:
