@@ -172,8 +172,9 @@ def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = bucket.astype(np.uint16) if n < 1 << 16 else bucket  # small keys sort by radix
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+    cuts = np.searchsorted(bucket[order].astype(np.int64), np.arange(n + 1))
     for b in range(n):
         if cuts[b] < cuts[b + 1]:
             yield b, order[cuts[b] : cuts[b + 1]]
@@ -218,26 +219,28 @@ class Levels:
     """Sorted indexes of doubling size: key -> value, smaller or summed values kept for equal keys."""
 
     def __init__(self, combine) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, list[np.ndarray]]] = []
         self.combine = combine
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        level = self._sorted(keys, values)
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        if not len(keys):
+            return
+        level = self._sorted(keys, list(values))
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
             old = self.levels.pop()
-            level = self._sorted(np.concatenate([old[0], level[0]]), np.concatenate([old[1], level[1]]))
+            level = self._sorted(np.concatenate([old[0], level[0]]), [np.concatenate(x) for x in zip(old[1], level[1], strict=True)])
         self.levels.append(level)
 
-    def _sorted(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
+    def _sorted(self, keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        order = np.argsort(keys)
         k = keys[order]
-        new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        return k[new], self.combine.reduceat(values[order], new, axis=0) if len(new) else values[:0]
+        new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        return k[new], [self.combine.reduceat(v[order], new) for v in values]
 
     def find(self, keys: np.ndarray, none: int) -> np.ndarray:
-        """Merge-scan: the combined value of each key over all levels."""
-        out = np.full((len(keys), *self.levels[0][1].shape[1:]), none, np.int64) if self.levels else np.full(len(keys), none, np.int64)
-        for k, v in self.levels:
+        """Merge-scan: the combined first value of each key over all levels."""
+        out = np.full(len(keys), none, np.int64)
+        for k, (v, *_) in self.levels:
             i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
             hit = k[i] == keys
             out[hit] = self.combine(out[hit], v[i[hit]])
@@ -357,14 +360,14 @@ def _answer_contexts(width: int):
             at, docs = _strings(text, n, width), np.repeat(doc, n)
             keys, other = rolling(text, width)[at], rolling(text, width, _OTHER)[at].astype(np.int64)
             # the least and (by its complement) the greatest second hash show keys that stand for different strings
-            index.add(keys, np.stack([docs, other, ~other], 1))
+            index.add(keys, docs, other, ~other)
             kept.append((row, keys))
-        clashing = [k[(v[:, 1] != ~v[:, 2])] for k, v in index.levels]
+        clashing = [k[low != ~high] for k, (_, low, high) in index.levels]
         clash = np.unique(np.concatenate([*clashing, _between(index.levels)])) if index.levels else np.zeros(0, np.uint64)
         found = _by_bytes([row for row, _ in kept], clash, width) if len(clash) else {}
         for row, keys in kept:
             text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-            least = index.find(keys, _NONE)[:, 0]
+            least = index.find(keys, _NONE)
             if len(clash):
                 at = _strings(text, n, width)
                 for i in np.flatnonzero(np.isin(keys, clash)):
@@ -374,13 +377,13 @@ def _answer_contexts(width: int):
     return run
 
 
-def _between(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _between(levels: list[tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
     """Keys whose second hash differs from one level to another."""
     out = [np.zeros(0, np.uint64)]
     for i, (k, v) in enumerate(levels):
         for k2, v2 in levels[i + 1 :]:
             j = np.minimum(np.searchsorted(k, k2), len(k) - 1)
-            out.append(k2[(k[j] == k2) & (v[j, 1] != v2[:, 1])])
+            out.append(k2[(k[j] == k2) & (v[1][j] != v2[1])])
     return np.concatenate(out)
 
 
