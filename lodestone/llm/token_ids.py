@@ -135,13 +135,13 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_start(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Adds start from one total per file; files are few, so their running sum fits in one task."""
+    """Adds start from one total per file; a row per file is what tasks and broadcast hold, however many documents there are."""
     from pyspark.sql import Window
 
     per_file = meta.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_file.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start")
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
