@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, graph, incremental, lexical, ranking
+from lodestone.operators import evaluation, graph, incremental, lexical, names, ranking, traversal
 from lodestone.plans.steps import run_plan
 from lodestone.sources import views as V
 from lodestone.streaming import events as E
@@ -103,14 +103,14 @@ def sca_08_09_10_hashes(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("digest"), T.short_hash(F.col("text")).alias("short"), T.vector_key(T.content_hash(F.col("text")), F.col("source")).alias("vkey"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(substr(text, 1, 400), '[^A-Za-z0-9_#]+'), lambda w: w <> ''), ' ') AS words FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_#]+'), lambda w: w <> ''), ' ') AS words FROM documents""")
 def sca_04_words(spark, sf):
-    return V.read(spark, sf, "documents").select("doc_id", F.array_join(T.split_words(F.substring("text", 1, 400)), " ").alias("words"))
+    return V.read(spark, sf, "documents").select("doc_id", F.array_join(T.split_words(F.col("text")), " ").alias("words"))
 
 
 @query()
 def sca_01_02_03_05_tokenizers(spark, sf):
-    q = F.substring("text", 1, 200)
+    q = F.col("text")
     return V.read(spark, sf, "benchmark").select("item_id", T.query_terms(q).alias("terms"), T.symbol_terms(q).alias("symbols"), T.question_terms(q).alias("question"), T.split_identifier(F.lit("parseHTTPHeader2_fast")).alias("parts"))
 
 
@@ -513,7 +513,8 @@ def agg_20_prior_fit(spark, sf):
 
 @query()
 def agg_21_bootstrap(spark, sf):
-    d = V.read(spark, sf, "events").where("event_id < 400").select(F.col("event_type").alias("tag"), (F.col("value") - 20).alias("delta"))  # a query set of paired differences
+    # paired differences by day: all events, summed up before the shuffle, one row per type and day
+    d = V.read(spark, sf, "events").groupBy(F.col("event_type").alias("tag"), F.to_date("ts").alias("day")).agg((F.avg("value") - 20).alias("delta")).select("tag", "delta")
     return evaluation.bootstrap(d, 200)
 
 
@@ -534,3 +535,67 @@ def str_tumbling_windows(spark, sf):
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, sid")
 def str_sessions(spark, sf):
     return E.sessions(V.read(spark, sf, "events"))
+
+
+# ---- scored traversal and names ---------------------------------------------------------------------------------
+
+_HOP = "s{i} AS (SELECT node, max(p) AS p FROM (SELECT l.dst AS node, round(s.p * conf / 100, 12) AS p FROM s{j} s JOIN l ON l.src = s.node) GROUP BY node)"
+_LINK_CONF = "l AS (SELECT src, dst, 40 + (src * 7 + dst * 13) % 60 AS conf FROM links)"
+
+
+@query(V.with_views("links") + f", {_LINK_CONF}, s0 AS (SELECT unnest([1, 2]) AS node, 1.0::DOUBLE AS p), " + ", ".join(_HOP.format(i=i, j=i - 1) for i in (1, 2, 3)) + ", a AS (" + " UNION ALL ".join(f"SELECT node, p, {i} AS hops FROM s{i}" for i in range(4)) + "), b AS (SELECT node, max(p) AS potential FROM a GROUP BY node), r AS (SELECT b.node, min(hops)::BIGINT AS hops, potential FROM b JOIN a ON a.node = b.node AND a.p = b.potential GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY potential DESC, node) AS place FROM r) SELECT * FROM o WHERE place <= 64")
+def gra_01_03_04_best_first(spark, sf):
+    links = V.links(spark, sf).withColumn("conf", 40 + (F.col("src") * 7 + F.col("dst") * 13) % 60)
+    return traversal.best_first(links, spark.createDataFrame([(1,), (2,)], "node long"), 3, 64)
+
+
+@query(V.with_views("edges") + ", t AS (SELECT DISTINCT src, dst FROM edges WHERE map = 'exact'), p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY conf DESC, dst, site) AS place FROM edges WHERE map = 'text'), r AS (SELECT p.*, CASE WHEN place <= 5 AND EXISTS (FROM t WHERE t.src = p.src AND t.dst = p.dst) THEN 'confirmed' WHEN place <= 5 AND p.src IN (SELECT src FROM t) THEN 'refuted' ELSE 'open' END AS label FROM p) SELECT src, dst, site, CASE WHEN label = 'confirmed' THEN greatest(conf, 90) ELSE conf END AS conf, label FROM r WHERE label <> 'refuted'")
+def gra_16_confirmation(spark, sf):
+    return traversal.confirm(V.edges(spark, sf), "text", "exact", 5)
+
+
+@query(V.with_views("edges") + " SELECT src, dst, count(DISTINCT map) AS maps, round(max(conf) / 100 * (1 + 0.1::DOUBLE * (count(DISTINCT map) - 1)), 6) AS score FROM edges GROUP BY ALL")
+def rnk_10_corroboration(spark, sf):
+    return traversal.corroborate(V.edges(spark, sf))
+
+
+@query(V.with_views("edges") + ", r AS (SELECT src, dst, map, row_number() OVER (PARTITION BY src, map ORDER BY max(conf) DESC, dst) AS rank FROM edges GROUP BY src, dst, map), s AS (SELECT src, dst, CASE WHEN map IN ('text', 'vector') THEN 'words' ELSE map END AS source, min(rank) AS rank, max(CASE map WHEN 'exact' THEN 1.0 WHEN 'heuristic' THEN 0.5 WHEN 'text' THEN 0.7 ELSE 0.6 END)::DOUBLE AS w FROM r GROUP BY ALL) SELECT src, dst, round(sum(w / (2 + rank)), 9) AS score FROM s GROUP BY ALL")
+def rnk_06_source_rrf(spark, sf):
+    return traversal.source_rrf(V.edges(spark, sf), {"exact": ("exact", 1.0), "heuristic": ("heuristic", 0.5), "text": ("words", 0.7), "vector": ("words", 0.6)})
+
+
+@query(V.with_views("edges") + ", s AS (SELECT src, dst, map, site, round(CASE map WHEN 'exact' THEN 0.9 WHEN 'text' THEN 0.3 ELSE 0.5 END::DOUBLE * conf, 6) AS strength FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY strength DESC, site, map) AS rn FROM s) SELECT src, dst, map, site, strength FROM r WHERE rn = 1")
+def add_15_rnk_15_collapse(spark, sf):
+    return traversal.collapse(V.edges(spark, sf), spark.createDataFrame([("exact", 0.9), ("text", 0.3)], "map string, prior double"))
+
+
+@query("WITH q AS (SELECT unnest(['ECONOMY', 'promo']) AS query), m AS (SELECT query, p_partkey AS id, (p_type <> query)::BIGINT AS class FROM part JOIN q ON lower(p_type) = lower(query)), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY class, id) AS place FROM m) SELECT * FROM r WHERE place <= 20")
+def rnk_13_declared(spark, sf):
+    rows = V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
+    return names.declared(rows, spark.createDataFrame([("ECONOMY",), ("promo",)], "query string"), 20)
+
+
+@query("WITH t AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS t FROM part), d AS (SELECT w, count(*) FILTER (list_contains(t, w)) AS df, count(*) AS n FROM t, (SELECT unnest(['cold', 'widget', 'zeppelin']) AS w) GROUP BY w), i AS (SELECT w, CASE WHEN df > 0 THEN ln(1 + n / df) ELSE 0 END AS idf FROM d) SELECT id, count(*) FILTER (list_contains(t, w)) AS shared, round(count(*) FILTER (list_contains(t, w)) / 3, 6) AS plain, round(coalesce(sum(idf) FILTER (list_contains(t, w)), 0) / sum(idf), 6) AS weighted FROM t, i GROUP BY id HAVING shared > 0")
+def rnk_04_add_13_14_overlap(spark, sf):
+    return names.overlap(V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "cold widget zeppelin")
+
+
+@query(V.with_views("commit_files") + ", m AS (SELECT commit, count(DISTINCT p_name) AS matched, max(day) AS day FROM commit_files JOIN part ON file = p_partkey WHERE p_name IN ('cold widget', 'small widget', 'large bolt') GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY matched DESC, day DESC, commit) AS place FROM m) SELECT commit, matched, place FROM r WHERE place <= 50")
+def rnk_14_history(spark, sf):
+    p = V.read(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("token"))
+    return names.history(V.commit_files(spark, sf).join(p, "file"), ["cold widget", "small widget", "large bolt"], 50)
+
+
+@query(V.with_views("files", "lines", "chunks") + " SELECT path, language, count(*) AS chunks FROM chunks JOIN files USING (path) GROUP BY ALL")
+def add_05_indexed_files(spark, sf):
+    return V.chunks(spark, sf).groupBy("path").agg(F.count("*").alias("chunks")).join(V.files(spark, sf).select("path", "language"), "path")
+
+
+@query("SELECT p_partkey AS id, array_to_string(list_filter([l, upper(l[1]) || l[2:], upper(p_type), p_type], lambda x, i: list_position([l, upper(l[1]) || l[2:], upper(p_type), p_type], x) = i), ' ') AS spellings FROM (SELECT *, lower(p_type) AS l FROM part)")
+def add_37_spellings(spark, sf):
+    return V.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(names.spellings(F.col("p_type")), " ").alias("spellings"))
+
+
+@query("SELECT doc_id, len(i) AS n, array_to_string(i, ' ') AS identifiers FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS i FROM documents)")
+def add_35_identifiers(spark, sf):
+    return V.read(spark, sf, "documents").select("doc_id", names.identifiers(F.col("text")).alias("i")).select("doc_id", F.size("i").cast("long").alias("n"), F.array_join("i", " ").alias("identifiers"))

@@ -54,9 +54,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse directed graph over customers."""
+    """A directed graph over 150 nodes, to which every order adds an edge."""
     o = read(spark, sf_dir, "orders")
-    return o.where(F.col("o_orderkey") % 7 == 0).select((F.col("o_custkey") % 150).alias("src"), (F.col("o_orderkey") % 149).alias("dst")).where("src <> dst").distinct()
+    return o.select((F.col("o_custkey") % 150).alias("src"), (F.col("o_orderkey") % 149).alias("dst")).where("src <> dst").distinct()
 
 
 SQL = {
@@ -65,7 +65,7 @@ SQL = {
     "chunks": "chunks AS (SELECT path, (line - 1) // 20 AS chunk, min(line) AS start_line, max(line) AS end_line, count(*) AS n_lines FROM lines GROUP BY ALL)",
     "commit_files": "commit_files AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS file, o_orderdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "edges": "edges AS (" + " UNION ALL ".join(f"SELECT l_partkey AS src, l_suppkey AS dst, '{w}' AS map, ((l_orderkey * {m} + l_linenumber) % 100 + 1)::BIGINT AS conf, l_orderkey AS site FROM lineitem WHERE l_orderkey % {m} = 0" for w, m in {"heuristic": 3, "exact": 5, "text": 7, "vector": 11}.items()) + ")",
-    "links": "links AS (SELECT DISTINCT o_custkey % 150 AS src, o_orderkey % 149 AS dst FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 150 <> o_orderkey % 149)",
+    "links": "links AS (SELECT DISTINCT o_custkey % 150 AS src, o_orderkey % 149 AS dst FROM orders WHERE o_custkey % 150 <> o_orderkey % 149)",
 }
 
 
