@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): exact neighbours by cosine. queries: a stated few, sent to every task."""
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("score", F.round(dot(F.col("q"), F.col("v")) / (norm("q") * norm("v")), 6))
+def nearest(queries: DataFrame, rows: DataFrame, k: int, tile: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score): exact neighbours by cosine to six places, ties to the smaller id, a query's own row left out.
+
+    queries: (query_id, q), rows: (vec_id, v), ids long. Queries go to the tasks a tile of fixed size at a time; each batch of rows
+    is one matrix product, of which only its k best for each query leave the task. Null, empty and non-finite vectors take no part.
+    """
+    ok = lambda c: (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    rows, held, found = rows.where(ok("v")).select("vec_id", "v"), [], None
+
+    def tile_hits() -> None:
+        nonlocal found
+        ids, q = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64).reshape(len(held), -1)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+        part = rows.mapInArrow(_tile_search(sent, k), "query_id long, vec_id long, score double")
+        found = part if found is None else found.unionByName(part)
+        held.clear()
+
+    for r in queries.where(ok("q")).select("query_id", "q").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == tile:
+            tile_hits()
+    if held or found is None:
+        tile_hits()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _tile_search(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, q = sent.value
+        for b in batches:
+            vectors = [v for v in b.column(1).to_pylist()]
+            same = [i for i, v in enumerate(vectors) if len(v) == q.shape[1]]
+            if not same or not len(q):
+                continue
+            ids, x = b.column(0).to_numpy(zero_copy_only=False)[same], np.array([vectors[i] for i in same], np.float64)
+            s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
+            s[queries[:, None] == ids[None, :]] = -np.inf
+            kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+            i, j = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
+            order = np.lexsort((ids[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[best], j[best]
+            yield pa.RecordBatch.from_arrays([pa.array(queries[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def fuse(channels: dict[str, tuple[DataFrame, float]], key: list[str], rrf_k: int = RRF_K) -> DataFrame:

@@ -5,31 +5,16 @@ Names begin with the inventory row they cover, such as rnk_02 or joi_14.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.catalog import QUERIES, SQL, query  # noqa: F401 - readers of the catalogue import it from here
 from lodestone.functions import text as T
 from lodestone.operators import evaluation, graph, incremental, lexical, names, ranking, traversal
 from lodestone.plans.steps import run_plan
 from lodestone.sources import views as V
 from lodestone.streaming import events as E
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -191,15 +176,15 @@ def src_03_04_agg_31_scan_counters(spark, sf):
 
 # ---- vectors, fusion, windows ------------------------------------------------------------------------
 
-_KNN_SQL = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5),
-p AS (SELECT query_id, vec_id, label, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, q WHERE vec_id >= 5),
+_KNN_SQL = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id, label, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)"""
 
 
 def _knn(spark, sf, k, where="true"):
     e = V.read(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return ranking.nearest(q, e.where("vec_id >= 5").where(where).select("vec_id", F.col("embedding").alias("v")), k)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return ranking.nearest(q, e.where(where).select("vec_id", F.col("embedding").alias("v")), k)
 
 
 @query(f"WITH {_KNN_SQL} SELECT query_id, rank, vec_id, score FROM knn WHERE rank <= 10")
@@ -412,13 +397,13 @@ def gra_12_plan(spark, sf):
 
 # ---- joins over snapshots and ranges -------------------------------------------------------------------
 
-_SNAP = "old AS (SELECT path, content_hash FROM files WHERE doc_id % 10 <> 0), new AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN sha256(text || 'x') ELSE content_hash END AS content_hash FROM files WHERE doc_id % 7 <> 0)"
+_SNAP = "old AS (SELECT path, content_hash FROM files WHERE path NOT LIKE 'src3/%'), new AS (SELECT path, CASE WHEN language = 'de' THEN sha256(text || 'x') ELSE content_hash END AS content_hash FROM files WHERE path NOT LIKE 'src5/%')"
 
 
 def _snapshots(spark, sf):
     f = V.files(spark, sf)
-    new = f.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
-    return f.where("doc_id % 10 <> 0").select("path", "content_hash"), new
+    new = f.where(~F.col("path").startswith("src5/")).select("path", F.when(F.col("language") == "de", F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    return f.where(~F.col("path").startswith("src3/")).select("path", "content_hash"), new
 
 
 @query(V.with_views("files") + f", {_SNAP} SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'removed' WHEN old.content_hash = new.content_hash THEN 'same' ELSE 'changed' END AS state FROM old FULL JOIN new ON old.path = new.path")
@@ -453,16 +438,17 @@ def joi_02_line_to_chunk(spark, sf):
 
 # ---- evaluation ---------------------------------------------------------------------------------------------
 
-_GOLD = f"{_KNN_SQL}, t AS (SELECT knn.*, label = (SELECT label FROM embeddings x WHERE x.vec_id = query_id) AS hit FROM knn), g AS (SELECT query_id, count(*) FILTER (hit) AS n_gold FROM t GROUP BY 1)"
+_GOLD = f"{_KNN_SQL}, t AS (SELECT knn.*, label = (SELECT label FROM embeddings x WHERE x.vec_id = query_id) AS hit FROM knn), g AS (SELECT x.vec_id AS query_id, n - 1 AS n_gold FROM embeddings x JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label) WHERE x.vec_id % 20 = 0)"
 
 
 @query(f"""WITH {_GOLD}, m AS (SELECT query_id, min(rank) FILTER (hit) AS first, sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (hit AND rank <= 3) AS n3, count(*) FILTER (hit AND rank <= 8) AS n8 FROM t WHERE rank <= 20 GROUP BY 1)
 SELECT query_id, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS rr, coalesce((first <= 1)::BIGINT, 0) AS hit1, coalesce((first <= 3)::BIGINT, 0) AS hit3, coalesce((first <= 8)::BIGINT, 0) AS hit8, round(n3 / n_gold, 6)::DOUBLE AS recall3, round(n8 / n_gold, 6)::DOUBLE AS recall8, round(dcg / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg10 FROM m JOIN g USING (query_id) WHERE n_gold > 0""")
 def eva_01_win_07_11_metrics(spark, sf):
     e = V.read(spark, sf, "embeddings").select("vec_id", "label")
-    own = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    ranked = _knn(spark, sf, 20).join(e, "vec_id").join(F.broadcast(own), "query_id").withColumn("hit", F.col("label") == F.col("own"))
-    gold = e.where("vec_id >= 5").join(F.broadcast(own), F.col("label") == F.col("own")).groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    own = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    ranked = _knn(spark, sf, 20).join(e, "vec_id").join(own, "query_id").withColumn("hit", F.col("label") == F.col("own"))
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    gold = own.join(sizes, F.col("label") == F.col("own")).select("query_id", "n_gold")
     return evaluation.query_metrics(ranked, gold)
 
 
