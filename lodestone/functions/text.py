@@ -74,12 +74,17 @@ def vector_key(digest: Column, path: Column | None = None) -> Column:
     return digest if path is None else F.concat_ws("\u001f", digest, path)
 
 
+def head_bytes(text: Column, most: int) -> Column:
+    """At most `most` bytes of UTF-8, cut at a character."""
+    raw = text.cast("binary")
+    inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")  # noqa: E731 - byte n + 1 goes on with a character
+    cut = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
+
+
 def snippet(text: Column, most: int = SNIPPET_BYTES) -> Column:
     """At most `most` bytes of UTF-8, cut at a character, with an ellipsis if anything was cut."""
-    head = F.substring(text, 1, most)
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: n)
-    fits = F.filter(sizes, lambda n: F.octet_length(F.substr(head, F.lit(1), n)) <= most)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.substr(head, F.lit(1), F.array_max(fits)), F.lit("…")))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(head_bytes(text, most), F.lit("…")))
 
 
 def percent(x: Column) -> Column:
@@ -97,7 +102,7 @@ def relevance_factor(score: Column, floor: float) -> Column:
 
 
 def rerank_document(path: Column, code: Column, most: int = 4096) -> Column:
-    return F.concat(path, F.lit("\n"), F.substring(code, 1, most))
+    return F.concat(path, F.lit("\n"), head_bytes(code, most))
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -164,3 +169,98 @@ def source_role(path: Column) -> Column:
 
 def role_prior(role: Column) -> Column:
     return F.when(role == "source", SOURCE_PRIOR).otherwise(0.0)
+
+
+def excerpt(code: Column, lines: int, width: int = 500) -> Column:
+    """The first lines, each cut at `width` characters with an ellipsis."""
+    cut = lambda x: F.when(F.length(x) > width, F.concat(F.substring(x, 1, width), F.lit("…"))).otherwise(x)
+    return F.array_join(F.transform(F.slice(F.split(code, "\n"), 1, lines), cut), "\n")
+
+
+def symbol_queries(text: Column) -> Column:
+    """term# for each query term, before it the singular of plurals over four bytes; repeats in a row once, at most eight."""
+    plural = lambda w: F.endswith(w, F.lit("s")) & (F.octet_length(w) > 4)
+    both = F.flatten(F.transform(query_terms(text), lambda w: F.when(plural(w), F.array(F.concat(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("#")), F.concat(w, F.lit("#")))).otherwise(F.array(F.concat(w, F.lit("#"))))))
+    return F.slice(F.filter(both, lambda w, i: (i == 0) | (w != F.get(both, i - 1))), 1, 8)
+
+
+def code_spans(text: Column) -> Column:
+    """What stands between back-ticks, in order."""
+    return F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
+
+
+def code_names(text: Column) -> Column:
+    """Code spans that are names: identifiers joined by '::' or '.', an ending () left out."""
+    bare = F.transform(code_spans(text), lambda s: F.regexp_replace(s, r"\(\)$", ""))
+    return F.filter(bare, lambda s: s.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\.)[A-Za-z_][A-Za-z0-9_]*)*$"))
+
+
+def literal_needles(text: Column, least: int = 4, most: int = 8) -> Column:
+    """Last segments of the names in code spans, once each."""
+    last = F.transform(code_names(text), lambda s: F.regexp_extract(s, r"([A-Za-z0-9_]+)$", 1))
+    return F.slice(F.array_distinct(F.filter(last, lambda s: F.length(s) >= least)), 1, most)
+
+
+def why_tokens(text: Column, most: int = 8) -> Column:
+    """Names in back-ticks, then lower-cased words outside them of six letters or more that are no stop words; no word twice in any case."""
+    outside = F.array_join(F.filter(F.split(text, "`"), lambda s, i: i % 2 == 0), " ")
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    words = F.filter(F.transform(F.split(outside, "[^A-Za-z]+"), F.lower), lambda w: (F.length(w) >= 6) & ~F.array_contains(stop, w))
+    names = code_names(text)
+    fresh = F.array_distinct(F.filter(words, lambda w: ~F.array_contains(F.transform(names, F.lower), w)))
+    return F.slice(F.concat(names, fresh), 1, most)
+
+
+# Words that declare the name after them.
+DECLARING = ("fn", "trait", "struct", "enum", "impl", "class", "interface", "type", "mod", "def", "func", "union", "record", "protocol", "function", "object", "delegate")
+
+
+def declares(line: Column, name: str) -> Column:
+    """Whether a line declares a name: a declaring word right before its first whole occurrence, `impl .. for`, a Go receiver, or a C# delegate; never a comment."""
+    comment = line.rlike(r"^\s*(?://|/\*|\*|#|--)")
+    here = line.rlike(rf"(?s)(?<!\w){re.escape(name)}(?!\w)")
+    before = F.regexp_extract(line, rf"(?s)^(.*?)(?<!\w){re.escape(name)}(?!\w)", 1)
+    trimmed = F.trim(before)
+    receiver = F.endswith(trimmed, F.lit(")")) & trimmed.rlike(r"^func ?\(")
+    word = before.rlike(rf"(?:^|\W)(?:{'|'.join(DECLARING)})\W*$")
+    implements = before.rlike(r"(?:^|\W)for\W*$") & before.rlike(r"(?:^|\W)impl(?:\W|$)")
+    delegate = before.rlike(r"(?:^|\W)delegate\W") & ~F.contains(before, F.lit("("))
+    return here & ~comment & F.when(receiver, F.length(trimmed) - F.length(F.replace(trimmed, F.lit("("), F.lit(""))) == 1).otherwise(word | implements | delegate)
+
+
+def module_path(path: Column) -> Column:
+    """Segments of a file as a module: without src, extension, and mod, lib or main at the end."""
+    parts = F.filter(F.split(F.regexp_replace(path, r"\.[^./]+$", ""), "/"), lambda s: s != "src")
+    return F.when(F.element_at(parts, -1).isin("mod", "lib", "main"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def specificity(pattern: Column) -> Column:
+    """(components with wildcards, '**' components, literal characters with a minus): less is more specific."""
+    parts = F.split(pattern, "/")
+    literal = F.length(F.regexp_replace(pattern, r"[*?\[\]]", ""))
+    return F.struct(F.size(F.filter(parts, lambda p: p.rlike(r"[*?\[]"))).cast("long").alias("wild"), F.size(F.filter(parts, lambda p: p == "**")).cast("long").alias("recursive"), (-literal).cast("long").alias("literal"))
+
+
+def node_card(node: Column, how: Column, potential: Column, depth: Column, most: int = 160) -> Column:
+    """node | how | p0.50 d2 in at most `most` characters; a long node loses its start to a '~'."""
+    tail = F.concat(F.lit(" | "), how, F.format_string(" | p%.2f d%d", potential, depth))
+    room = F.lit(most) - F.length(tail)
+    return F.concat(F.when(F.length(node) <= room, node).otherwise(F.concat(F.lit("~"), F.right(node, room - 1))), tail)
+
+
+def node_id(kind: Column, path: Column, name: Column) -> Column:
+    """kind:path#name, with '%', ':' and '#' of the parts escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit(":"), F.lit("%3A")), F.lit("#"), F.lit("%23"))
+    return F.concat(safe(kind), F.lit(":"), safe(path), F.when(name.isNotNull() & (name != ""), F.concat(F.lit("#"), safe(name))).otherwise(""))
+
+
+def node_parts(node: Column) -> Column:
+    """(kind, path, name) of a node id; null if it is none."""
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("%23"), F.lit("#")), F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%"))
+    shape = r"^([^:#]+):([^:#]+)(?:#([^:#]+))?$"
+    parts = F.struct(*[plain(F.regexp_extract(node, shape, i)).alias(n) for i, n in ((1, "kind"), (2, "path"), (3, "name"))])
+    return F.when(node.rlike(shape), parts)
+
+
+def usable_term(term: Column) -> Column:
+    return (F.length(term) >= 3) & ~F.lower(term).isin(*STOP_WORDS)

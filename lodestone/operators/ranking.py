@@ -23,7 +23,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, tile: int = 4096) -> Da
 
     def tile_hits() -> None:
         nonlocal found
-        ids, q = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64).reshape(len(held), -1)
+        ids, q = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64).reshape(len(held), -1 if held else 0)
         sent = rows.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
         part = rows.mapInArrow(_tile_search(sent, k), "query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)

@@ -585,3 +585,6 @@ def add_37_spellings(spark, sf):
 @query("SELECT doc_id, len(i) AS n, array_to_string(i, ' ') AS identifiers FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS i FROM documents)")
 def add_35_identifiers(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", names.identifiers(F.col("text")).alias("i")).select("doc_id", F.size("i").cast("long").alias("n"), F.array_join("i", " ").alias("identifiers"))
+
+
+from lodestone import registry_search  # noqa: E402,F401 - its queries enter the same catalogue
