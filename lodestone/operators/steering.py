@@ -102,10 +102,10 @@ def hop_score(edges: DataFrame, nodes_seen: int, base: float = 0.1, by_idf: floa
 
 
 def tie_break(results: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Results (item, potential, ...) in order of potential, then of a weighted sum of features, then of discovery. Adds place."""
+    """Results (item, node, potential, found, ...) in order of potential, then of a weighted sum of features, then of discovery. Adds place."""
     extra = sum((F.lit(w) * (F.log(1 + F.col(c)) if c == "fanout" else F.col(c)) for c, w in weights.items()), F.lit(0.0))
     rows = results.withColumn("tie", F.round(extra, 9))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("potential"), F.desc("tie"), "found")).cast("long"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("potential"), F.desc("tie"), "found", "node")).cast("long"))
 
 
 def merge_stages(first: DataFrame, walk: DataFrame, mode: str, first_k: int, top_k: int) -> DataFrame:

@@ -394,10 +394,10 @@ def rnk_09_eva_16_random_control(spark, sf):
     return V.edges(spark, sf).select("src", "dst", "site", "map", F.row_number().over(Window.partitionBy("src").orderBy(draw, "map", "conf")).cast("long").alias("place"))
 
 
-@query(V.with_views("edges") + ", r AS (SELECT src AS item, dst, max(conf) // 10 AS potential, count(DISTINCT map) AS n_maps, count(*) AS fanout, min(site) AS found FROM edges GROUP BY ALL), t AS (SELECT *, round(0.5::DOUBLE * n_maps + -0.25::DOUBLE * ln(1 + fanout), 9) AS tie FROM r) SELECT item, dst, tie, row_number() OVER (PARTITION BY item ORDER BY potential DESC, tie DESC, found) AS place FROM t")
+@query(V.with_views("edges") + ", r AS (SELECT src AS item, dst AS node, max(conf) // 10 AS potential, count(DISTINCT map) AS n_maps, count(*) AS fanout, min(site) AS found FROM edges GROUP BY ALL), t AS (SELECT *, round(0.5::DOUBLE * n_maps + -0.25::DOUBLE * ln(1 + fanout), 9) AS tie FROM r) SELECT item, node, tie, row_number() OVER (PARTITION BY item ORDER BY potential DESC, tie DESC, found, node) AS place FROM t")
 def srt_08_10_tie_break(spark, sf):
-    rows = V.edges(spark, sf).groupBy(F.col("src").alias("item"), "dst").agg(F.floor(F.max("conf") / 10).alias("potential"), F.countDistinct("map").alias("n_maps"), F.count("*").alias("fanout"), F.min("site").alias("found"))
-    return steering.tie_break(rows, {"n_maps": 0.5, "fanout": -0.25}).select("item", "dst", "tie", "place")
+    rows = V.edges(spark, sf).groupBy(F.col("src").alias("item"), F.col("dst").alias("node")).agg(F.floor(F.max("conf") / 10).alias("potential"), F.countDistinct("map").alias("n_maps"), F.count("*").alias("fanout"), F.min("site").alias("found"))
+    return steering.tie_break(rows, {"n_maps": 0.5, "fanout": -0.25}).select("item", "node", "tie", "place")
 
 
 _STAGES_SQL = "a AS (SELECT src AS query, dst AS node, min(site) AS rank FROM edges WHERE map = 'text' GROUP BY ALL), w AS (SELECT src AS query, dst AS node, min(site) AS rank FROM edges WHERE map = 'exact' GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, node) AS n FROM a QUALIFY n <= 3), b AS (SELECT w.*, row_number() OVER (PARTITION BY w.query ORDER BY w.rank, w.node) AS n FROM w ANTI JOIN f ON f.query = w.query AND f.node = w.node QUALIFY n <= 5), u AS (SELECT query, node, n, 0 AS list FROM f UNION ALL SELECT query, node, n, 1 FROM b)"
