@@ -26,6 +26,7 @@ from lodestone.llm.common import pick
 CACHE_PIECES = 1_200_000  # pieces a worker remembers before it starts afresh
 LONG_PIECE = 48  # longer pieces are encoded each time, not remembered
 SLICE_CHARS = 1 << 21  # text split at once
+ROW_PIECES = 4096  # new pieces encoded as one text
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: texts with none of these are cut into words and what lies between them
 _UNUSUAL = re.compile(rf"\s\s|'|[^\x00-\x7f{_LATIN}«»„“”…–—€]")
@@ -48,7 +49,10 @@ class ByteBpe:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.sizes = np.zeros(self.tok.get_vocab_size(), np.int64)  # bytes of each id: its characters stand for one byte each
+        for token, i in self.tok.get_vocab().items():
+            self.sizes[i] = len(token)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -66,17 +70,36 @@ class ByteBpe:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
-        known = fresh = {w: x.ids for w, x in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        known = fresh = self._new(new)
         if any(len(w) > LONG_PIECE for w in new):
             known = {w: x for w, x in fresh.items() if len(w) <= LONG_PIECE}
         self.known.update(known)
         known = self.known
         for pieces in cut:
             try:
-                ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
+                yield b"".join(map(known.__getitem__, pieces))
             except KeyError:
-                ids = list(chain.from_iterable([known[w] if w in known else fresh[w] for w in pieces]))
-            yield np.array(ids, "<u4").tobytes()
+                yield b"".join([known[w] if w in known else fresh[w] for w in pieces])
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces of a space and a word are encoded many in a row, as the pre-tokenizer cuts before each; the ids' byte lengths tell them apart."""
+        row = [w for w in pieces if len(w) > 1 and w[0] == " " and not (w[1].isspace() or w[-1].isspace())]
+        rest = set(pieces).difference(row)
+        out: dict[str, bytes] = {}
+        parts = [row[lo : lo + ROW_PIECES] for lo in range(0, len(row), ROW_PIECES)]
+        for part, got in zip(parts, self.tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            at = np.searchsorted(ends, wanted)
+            if ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+                rest.update(part)
+                continue
+            blob, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            out.update(zip(part, [blob[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        alone = list(rest)
+        out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return out
 
 
 _loaded: dict[str, ByteBpe] = {}
