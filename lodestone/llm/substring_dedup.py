@@ -186,7 +186,7 @@ def _load(row: dict, width: int, gram: int) -> Block:
 
 def _anchor_types(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchor hashes of a block, and in how many of its documents each lies."""
-    order = np.lexsort((b.doc, b.keys))
+    order = np.argsort(b.keys, kind="stable")  # documents ascend already
     k, d = b.keys[order], b.doc[order]
     new = np.r_[True, (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
     pair = new | np.r_[True, d[1:] != d[:-1]] if len(k) else new
@@ -239,11 +239,14 @@ class Levels:
 
     def find(self, keys: np.ndarray, none: int) -> np.ndarray:
         """Merge-scan: the combined first value of each key over all levels."""
-        out = np.full(len(keys), none, np.int64)
+        order = np.argsort(keys)
+        asked, got = keys[order], np.full(len(keys), none, np.int64)  # in order, both sides are read from front to back
         for k, (v, *_) in self.levels:
-            i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            hit = k[i] == keys
-            out[hit] = self.combine(out[hit], v[i[hit]])
+            i = np.minimum(np.searchsorted(k, asked), len(k) - 1)
+            hit = k[i] == asked
+            got[hit] = self.combine(got[hit], v[i[hit]])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
 
@@ -281,7 +284,9 @@ def _flags(uniq: np.ndarray, answers: list[dict] | None, n: int) -> tuple[np.nda
 def _contexts(block: Block, repeated: np.ndarray, hot: np.ndarray, uniq: np.ndarray) -> tuple[np.ndarray, ...]:
     """Strings to compare, as contexts: (first byte, number of strings, key to deal by) of each run of strings of one anchor."""
     w = block.width
-    which = np.searchsorted(uniq, block.keys)
+    order = np.argsort(block.keys)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.searchsorted(uniq, block.keys[order])
     s = block.starts
     owner = np.repeat(np.arange(len(block.at)), np.diff(block.runs))
     clear = repeated[which[owner]]
