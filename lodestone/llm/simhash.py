@@ -26,18 +26,24 @@ PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 24, np.uint64)
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, size: int = 3) -> int:
-    """Majority bits of the XXH64 of all shingles of lower-cased words; 0 for a text without words."""
+def hashes(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased words, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - size + 1)
     spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes | None, size: int = 3) -> int:
+    """Majority bits of the XXH64 of all shingles of lower-cased words; 0 for a text without words."""
+    h = hashes(text, size)
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 65536):
         bits = np.unpackbits(h[lo : lo + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
