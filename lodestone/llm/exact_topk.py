@@ -78,7 +78,8 @@ def top_k(df: DataFrame, k: int = 10, query_every: int = 100, tile_rows: int = 4
             break
     if not lists:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = union_all(lists)
+    # partitions of a union are numbered on over its tiles, while the merges count those of one tile
+    found = union_all(lists).withColumn("part", F.pmod("part", F.lit(parts)))
     groups = parts
     while groups > 1:
         groups = -(-groups // fan_in)

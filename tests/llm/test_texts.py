@@ -68,6 +68,17 @@ def test_top_k(spark):
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_tiles(spark):
+    v = np.random.default_rng(3).integers(-8, 9, (12, 4)) / 8
+    scores = (v * exact_topk.SCALE) @ (v * exact_topk.SCALE).T
+    want = []
+    for q in range(len(v)):
+        order = sorted((-int(scores[q, c]), c) for c in range(len(v)) if c != q)[:3]
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(order)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, exact_topk.top_k(df, k=3, query_every=1, tile_rows=2, fan_in=2).collect())) == want
+
+
 def test_models_on_little(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
