@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.common import BROADCAST_BYTES, checked, pick, stash
 
 PREFIX = 5
 DISCOUNT = 0.75
-MODEL_ROWS = 1 << 18  # words, and prefixes, that a model holds at most; rarer ones use the backoff counts
+UNSEEN = 1 << 18  # kinds of prefixes that the shared model allows for besides those counted
+LOCAL_ROWS = 1 << 20  # words, and prefixes, that a task looks up itself, the commonest first; the others are joined
 CALIBRATION_ROWS = 4000  # labelled rows that the logistic map is fitted on, chosen by a hash of doc_id
-CACHE_WORDS = 400_000
 EMIT_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 CUT = 3.0  # log-likelihood difference from which a word counts as telling
@@ -38,12 +39,14 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    words: dict[str, tuple[int, int]]  # documents of (toxic, ordinary) text that hold the word
-    prefixes: dict[str, tuple[int, int]]  # kinds of words with the prefix
+    words: dict[str, tuple[int, int]]  # documents of (toxic, ordinary) text that hold the word; of the calibration rows' words
+    prefixes: dict[str, tuple[int, int]]  # kinds of words with the prefix; of the calibration rows' words
     docs: tuple[int, int]  # sums of the words' counts
     kinds: tuple[int, int]
     starts: tuple[int, int]  # kinds of prefixes
     map: np.ndarray | None = None  # the logistic map
+    table: DataFrame | None = None  # (word, seen, ratio) of all training words; (word, seen, ratio) of prefixes if head
+    rows: int = 0  # of the larger half of the table
 
     def ratio(self, word: str, own: int | None = None) -> float:
         """ln P(word | toxic) - ln P(word | ordinary); own: the class of a document whose counts are left out."""
@@ -54,7 +57,7 @@ class Model:
                 t[own] -= n[own] == 0 and t[own] > 0
             elif t[own]:
                 t[own] -= 1
-        shared = (sum(t) + 1) / (sum(self.kinds) + MODEL_ROWS)
+        shared = (sum(t) + 1) / (sum(self.kinds) + UNSEEN)
         p = []
         for c in (0, 1):
             kinds, docs = max(1, self.kinds[c]), max(1, self.docs[c])
@@ -101,18 +104,46 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Mode
     heads = stash(heads)
     totals = counts.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)) for c in (0, 1)], *[F.coalesce(F.sum((F.col(f"n{c}") > 0).cast("long")), F.lit(0)) for c in (0, 1)]).first()
     starts = heads.agg(*[F.coalesce(F.sum((F.col(f"t{c}") > 0).cast("long")), F.lit(0)) for c in (0, 1)]).first()
-    words = counts.where("n0 > 1").orderBy(F.desc("n0"), "word").limit(MODEL_ROWS).toArrow().to_pydict()
-    prefixes = heads.where("t0 > 0").orderBy(F.desc("t0"), "head").limit(MODEL_ROWS).toArrow().to_pydict()
+    chosen = stash(_calibration(labelled, calibration_rows))
+    near = stash(chosen.select("text").mapInArrow(_distinct, "word string").distinct())
+    words = counts.join(checked(near), "word", "left_semi").toArrow().to_pydict()
+    near_heads = stash(near.select(F.substring("word", 1, PREFIX).alias("head")).distinct())
+    prefixes = heads.join(checked(near_heads), "head", "left_semi").toArrow().to_pydict()
     model = Model(
         dict(zip(words["word"], zip(words["n0"], words["n1"], strict=True), strict=True)), dict(zip(prefixes["head"], zip(prefixes["t0"], prefixes["t1"], strict=True), strict=True)),
         (totals[0], totals[1]), (totals[2], totals[3]), (starts[0], starts[1]),
     )
-    model.map = _fit_map(labelled, model, calibration_rows)
+    model.map = _fit_map(chosen, model)
+    bare = Model({}, {}, model.docs, model.kinds, model.starts)
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for word, head, n0, n1, t0, t1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bare.words, bare.prefixes = {word: (n0, n1)}, {word[:PREFIX]: (t0, t1)}
+                found.append(bare.ratio(word))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + y for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.int64()), pa.array(found, pa.float64())], ["word", "head", "seen", "ratio"])
+
+    of_words = counts.withColumn("head", F.substring("word", 1, PREFIX)).join(heads, "head").select("word", F.lit(False).alias("head"), "n0", "n1", "t0", "t1")
+    of_heads = heads.select(F.col("head").alias("word"), F.lit(True).alias("head"), F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"), "t0", "t1")
+    model.table = stash(of_words.unionByName(of_heads).mapInArrow(ratios, "word string, head boolean, seen long, ratio double"))
+    model.rows = max([r["count"] for r in model.table.groupBy("head").count().collect()], default=0)
     return model
 
 
-def _fit_map(labelled: DataFrame, model: Model, most: int) -> np.ndarray:
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array({w for t in b.column(0) for w in words_of(t.as_py())}, pa.string())], ["word"])
+
+
+def _calibration(labelled: DataFrame, most: int) -> DataFrame:
+    """As many rows of either class as half the bound, by a hash of doc_id."""
+    some = [labelled.where(c).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in ("toxic", "not toxic")]
+    return labelled.join(F.broadcast(some[0].unionByName(some[1]).distinct()), "doc_id").select("text", "toxic")
+
+
+def _fit_map(chosen: DataFrame, model: Model) -> np.ndarray:
+    sent = chosen.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -121,9 +152,6 @@ def _fit_map(labelled: DataFrame, model: Model, most: int) -> np.ndarray:
             f = [evidence([m.ratio(w, 0 if y else 1) for w in words_of(t.as_py())]) for t, y in zip(b.column(0), toxic, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], ["f", "toxic"])
 
-    # as many of either class as half the bound, by a hash of doc_id
-    some = [labelled.where(c).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in ("toxic", "not toxic")]
-    chosen = labelled.join(F.broadcast(some[0].unionByName(some[1]).distinct()), "doc_id")
     got = chosen.select("text", "toxic").mapInArrow(run, "f array<double>, toxic boolean").toArrow()
     if not got.num_rows:
         return np.array([-3.0, 0, 0, 0, 0])
@@ -155,31 +183,67 @@ def logistic_map(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         use[against] = False
 
 
-class _Ratios(dict):
-    def __init__(self, model: Model):
-        self.model = model
+def _logistic(f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = x = self.model.ratio(word)
-        return x
 
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(doc_id, score, predicted) for every row, by its text alone. Null and empty texts get the map's value for no evidence.
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) for every row, by its text alone. Null and empty texts get the map's value for no evidence."""
+    Tasks look up the commonest words themselves. If the tables hold more than local_rows, the other distinct words of each
+    document are joined with them, so local_rows changes no result.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    known, default = [], Model({}, {}, model.docs, model.kinds, model.starts).ratio("")
+    for head in (False, True):
+        t = model.table.where(F.col("head") == head).orderBy(F.desc("seen"), "word").limit(local_rows).select("word", "ratio").toArrow()
+        known.append(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)))
+    whole, weights = model.rows <= local_rows, model.map
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ratios(sent.value)
-        w = sent.value.map
+        words, heads = sent.value
         for b in batches:
-            f = np.array([(1.0, *evidence(list(map(known.__getitem__, words_of(t.as_py()))))) for t in b.column(1)]).reshape(-1, 5)
-            p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+            f = np.array([(1.0, *evidence([words[w] if w in words else heads.get(w[:PREFIX], default) for w in words_of(t.as_py())])) for t in b.column(1)]).reshape(-1, 5)
+            p = _logistic(f, weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    if whole:
+        return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row one entry without a word, with the sums over words known here, and one for each other distinct word."""
+        words = sent.value[0]
+        for b in batches:
+            out = []
+            for row, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                counts = Counter(words_of(t.as_py()))
+                here = [(words[w], n) for w, n in counts.items() if w in words]
+                telling = [(x, n) for x, n in here if x > CUT]
+                out.append((row, d, None, sum(n for _, n in here), sum(x * n for x, n in here), max((x for x, _ in here), default=0.0), sum(x * n for x, n in telling), sum(n for _, n in telling)))
+                out += [(row, d, w, n, 0.0, 0.0, 0.0, 0) for w, n in counts.items() if w not in words]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names)
+
+    names = ["row", "doc_id", "word", "n", "total", "most", "telling", "n_telling"]
+    id_type = to_arrow_type(docs.select("doc_id").schema[0].dataType)
+    kinds = [pa.int64(), id_type, pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    dealt = stash(rows.mapInArrow(deal, f"row long, doc_id {kind}, word string, n long, total double, most double, telling double, n_telling long"))
+    of_words, of_heads = (model.table.where(F.col("head") == h).select(F.col("word").alias(f"key{int(h)}"), F.col("ratio").alias(f"ratio{int(h)}")) for h in (False, True))
+    # each distinct word is looked up once; a null word has no ratio
+    asked = dealt.where("word is not null").select("word").distinct()
+    found = asked.join(of_words, F.col("word") == F.col("key0"), "left").join(of_heads, F.substring("word", 1, PREFIX) == F.col("key1"), "left")
+    found = stash(found.select(F.col("word").alias("asked"), F.coalesce("ratio0", "ratio1", F.lit(default)).alias("ratio")))
+    x, told = F.col("ratio"), F.col("ratio") > CUT
+    met = dealt.join(checked(found), F.col("word") == F.col("asked"), "left").groupBy("row", "doc_id").agg(
+        F.sum("n").alias("n"), F.sum(F.coalesce(x * F.col("n"), "total")).alias("total"), F.max(F.greatest(F.coalesce(x, "most"), F.lit(0.0))).alias("most"),
+        F.sum(F.when(told, x * F.col("n")).otherwise(F.col("telling"))).alias("telling"), F.sum(F.when(told, F.col("n")).otherwise(F.col("n_telling"))).alias("n_telling"),
+    )
+    n = F.greatest("n", F.lit(1))
+    parts = [F.lit(1.0), F.col("total") / n, F.col("most"), F.log1p("telling"), F.col("n_telling") / F.sqrt(n)]
+    z = sum((f * float(w) for f, w in zip(parts, weights, strict=True)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return met.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out() -> Column:

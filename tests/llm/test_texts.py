@@ -89,6 +89,20 @@ def test_models_on_little(spark):
     assert language.identify(language.prepared(docs.limit(0), None), language.train(docs)).count() == 0
 
 
+def test_toxicity_keeps_all_words(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join([f"plain{x}" for x in rng.integers(0, 200, 12)] + [f"vile{x}" for x in rng.integers(0, 60, 3)] * (i % 4 == 0)) for i in range(160)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, None), (500, "unknown plainly plain1")], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, marks)
+    model = toxicity.train(rows)
+    want = {w for r in rows.collect() for w in toxicity.words_of(r.text)}
+    assert {r.word for r in model.table.where("not head").collect()} == want
+    assert set(model.words) == want and min(n0 for n0, _ in model.words.values()) == 0
+    got = [sorted((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(docs, model, local_rows=n).collect()) for n in (5, toxicity.LOCAL_ROWS)]
+    assert got[0] == got[1] and len(got[0]) == 162
+
+
 @pytest.mark.parametrize("n", [2, 3])
 def test_ordinal_grades(n):
     rng = np.random.default_rng(1)
