@@ -1,21 +1,23 @@
-"""Exact removal of long repeated byte strings, with a logarithmic family of suffix indexes.
+"""Exact removal of long repeated byte strings, with a logarithmic family of suffix arrays.
 
 Every text is bytes. A byte goes if a string of `width` bytes that covers it also starts in a document with a
 smaller id. Equal strings choose equal anchors: among the k-grams of a string, the one with the least hash,
-leftmost on ties. So suffixes need comparing only where they share an anchor, and the work splits by anchor:
-
-1. documents are packed into blocks of a few MB, written once to the shared folder;
-2. each block sends the hashes of its anchors to buckets; a bucket answers which of them other blocks
-   (or other documents of the block) hold too, and which are held by very many;
-3. strings whose anchor is repeated are sent, once per block and distinct context, to the bucket of
-   their anchor (of the whole string, for anchors held by very many, so that no bucket grows with them). There,
-   every arriving batch becomes a sorted suffix index that is merged with the levels of its own size, and a
-   merge-scan over the levels finds the least document of each string;
+leftmost on ties. The strings of one anchor follow each other and form a context, a few dozen bytes more than one
+string. So the family of suffix arrays is dealt to buckets by anchor, and strings meet all their equals in one bucket:
+
+1. documents are put in order of doc_id and packed into blocks of a few MB, written once to the shared folder with
+   the lengths and anchors of their contexts; blocks are the batches of the index, each later than all before it;
+2. each block sends the hashes of its contexts to the buckets of their anchors. A bucket tells which contexts an
+   earlier batch holds byte for byte, and which anchors stand in several contexts. Only the latter can share some
+   strings and not others, and of these one of each kind, that of the earliest document, is indexed;
+3. in a bucket, every batch in turn gets a suffix array: its strings in the order of their bytes. It is merge-scanned
+   against the arrays of the levels, which hold earlier batches only; a match of `width` bytes in an earlier document marks a
+   string. Then the array becomes a level, and levels of like size merge, so a string is moved a logarithmic number of times;
 4. each block removes what the answers cover.
 
-Blobs that cross the shuffle are per block and bucket, so a string that a third of all documents hold costs one
-entry per block. Strings are grouped by a 64-bit hash; where a second one shows that a group holds different
-strings, they are compared byte by byte.
+What crosses the shuffle is a row per block and bucket. An anchor in very many kinds of context is dealt by the hashes
+of its strings instead, so that no bucket grows with it. Contexts count as the same if a 64-bit hash of all their bytes and
+48 bits of their anchor's agree; strings of different contexts are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ from lodestone.llm.common import checked, pick, shared_dir, stash
 WIDTH = 50
 GRAM = 24
 BLOCK_BYTES = 4 << 20
-HOT = 512  # documents that hold an anchor, from which its strings are dealt by their own hash
+BATCH = 1 << 17  # strings, from one block or more, that get a suffix array at once
+PIECE = 1 << 18  # strings whose anchors are sought at once
+HOT = 512  # kinds of context of an anchor from which its strings are dealt by their own hash
 _MULT = 0x9E3779B97F4A7C15
-_OTHER = 0xD6E8FEB86659FD93
 _POS = np.uint64((1 << 32) - 1)
 
 
@@ -49,24 +52,7 @@ def _in_pieces(f, data: np.ndarray, k: int, size: int = 1 << 15) -> np.ndarray:
     return out
 
 
-def rolling(data: np.ndarray, k: int, mult: int = _MULT) -> np.ndarray:
-    """A 64-bit hash of every k bytes in a row (data: uint8)."""
-    return _in_pieces(lambda d, k: _rolling(d, k, mult), data, k)
-
-
-def _rolling(data: np.ndarray, k: int, mult: int) -> np.ndarray:
-    power, size, cur = mult, 1, data.astype(np.uint64) + np.uint64(1)
-    out, have = None, 0
-    while True:
-        if k & size:
-            out = cur if out is None else out[: len(out) - size] * np.uint64(pow(mult, size, 1 << 64)) + cur[have : have + len(out) - size]
-            have += size
-        if have == k:
-            break
-        cur = cur[:-size] * np.uint64(power) + cur[size:]
-        power = power * power % (1 << 64)
-        size *= 2
-    h = out[: len(data) - k + 1]
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -84,29 +70,110 @@ def _least_in(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+REACH = 1 << 15  # bytes hashed at once: what they take fits a processor's cache
+_UP, _DOWN = _powers(_MULT, 2 * REACH), _powers(pow(_MULT, -1, 1 << 64), 2 * REACH)
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums, from which a hash of any span follows by one subtraction (at most 2 * REACH bytes)."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_UP[: len(data)] * data, out=out[1:])
+    return out
+
+
+def rolling(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k bytes in a row (data: uint8)."""
+
+    def some(d: np.ndarray, k: int) -> np.ndarray:
+        s = _sums(d)
+        return _mixed((s[k:] - s[:-k]) * _DOWN[: len(d) - k + 1])
+
+    return _in_pieces(some, data, k, REACH)
+
+
+def span_hashes(data: np.ndarray, at: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The hashes of rolling() for spans (first byte, size) that begin and end within REACH bytes of the places at, which ascend."""
+    out = [np.zeros(len(at), np.uint64) for _ in spans]
+    cuts = np.searchsorted(at, np.arange(int(at[0]), int(at[-1]) + REACH, REACH)) if len(at) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:
+            base = int(at[lo])
+            s = _sums(data[base : int(at[hi - 1]) + REACH])
+            for o, (first, size) in zip(out, spans, strict=True):
+                i = first[lo:hi] - base
+                o[lo:hi] = _mixed((s[i + (size[lo:hi] if np.ndim(size) else size)] - s[i]) * _DOWN[i])
+    return out
+
+
+def string_starts(lens: np.ndarray, width: int) -> np.ndarray:
+    """Places in documents laid end to end where a string starts that ends in the same document."""
+    n = np.maximum(lens - width + 1, 0)
+    return _spread(np.cumsum(lens) - lens, n)
+
+
+def contexts_of(data: np.ndarray, starts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of strings with one anchor: how many they are, and how far the anchor lies from the first.
+
+    Strings are taken a piece at a time, so a context at the edge of a piece may be two.
+    """
+    sizes, offs = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
+    for lo in range(0, len(starts), PIECE):
+        s = starts[lo : lo + PIECE]
+        base = int(s[0])
+        h = rolling(data[base : int(s[-1]) + width], gram)
+        anchor = _sliding_min((h & ~_POS) | np.arange(len(h), dtype=np.uint64), width - gram + 1)
+        anchor = (anchor[s - base] & _POS).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes.append(np.diff(np.r_[first, len(s)]).astype(np.uint16))
+        offs.append((anchor[first] - (s[first] - base)).astype(np.uint16))
+    return np.concatenate(sizes), np.concatenate(offs)
+
+
+def by_value(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, in their order of place, and where each new key begins in it."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64((1 << max(1, int(n).bit_length())) - 1)
+    packed = np.sort((keys & ~low) | np.arange(n, dtype=np.uint64))  # places in the low bits: faster than sorting an index
+    order = (packed & low).astype(np.int64)
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    if ((packed[1:] ^ packed[:-1]) & ~low == 0)[new[1:]].any():  # two keys differ in their low bits only
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        new = np.r_[True, k[1:] != k[:-1]]
+    return order, np.flatnonzero(new)
+
+
 class Block:
-    """Documents laid end to end, with the anchors of all their strings of `width` bytes."""
-
-    def __init__(self, ids: np.ndarray, lens: np.ndarray, data: bytes, width: int = WIDTH, gram: int = GRAM):
-        self.ids, self.lens, self.data, self.width, self.gram = ids, lens, np.frombuffer(data, np.uint8), width, gram
-        self.ends = np.cumsum(lens)
-        n = len(self.data)
-        #: places where a string starts that ends in the same document
-        self.ok = np.zeros(n, bool)
-        for lo, size in zip(self.ends - lens, lens, strict=True):
-            if size >= width:
-                self.ok[lo : lo + size - width + 1] = True
-        self.at = np.zeros(0, np.int64)  # anchors, ascending
-        self.runs = np.zeros(1, np.int64)  # for each anchor, where its strings begin in self.starts
-        self.starts = np.flatnonzero(self.ok)
-        self.keys = np.zeros(0, np.uint64)
-        if len(self.starts):
-            h = rolling(self.data, gram)
-            key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-            anchor = (_sliding_min(key, width - gram + 1)[self.starts] & _POS).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            self.at, self.runs, self.keys = anchor[first], np.r_[first, len(anchor)], h[anchor[first]]
-        self.doc = np.searchsorted(self.ends, self.at, side="right")
+    """Documents laid end to end, and the contexts of their strings."""
+
+    def __init__(self, row: dict, width: int, gram: int):
+        self.width, self.gram = width, gram
+        self.ids, self.lens = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lens"], "<i8")
+        self.data = np.frombuffer(_unz(row["data"]), np.uint8)
+        self.n, off = (x.astype(np.int64) for x in _unpack(row["contexts"], "<u2", "<u2"))
+        self.ends = np.cumsum(self.lens)
+        strings = np.maximum(self.lens - width + 1, 0)
+        before, at = np.cumsum(strings), np.cumsum(self.n) - self.n
+        doc = np.searchsorted(before, at, side="right")
+        self.first = at + (self.ends - self.lens - before + strings)[doc]
+        self.doc = self.ids[doc]
+        key, kind = span_hashes(self.data, self.first, (self.first + off, gram), (self.first, self.n + width - 1))
+        key >>= np.uint64(16)
+        order, new = by_value(kind)
+        #: the first context of each kind (that of the least document), and the kind of every context
+        self.one, self.of = order[new], np.empty(len(order), np.int64)
+        self.of[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+        self.key, self.kind = key[self.one], kind[self.one]
 
 
 def _z(raw: bytes) -> bytes:
@@ -117,13 +184,15 @@ def _unz(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, small: bool = True) -> bytes:
+    """Arrays in one blob, compressed if that is likely to help."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return _z(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    raw = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return b"z" + _z(raw) if small else b"-" + raw
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = _unz(blob)
+    raw = _unz(blob[1:]) if blob[:1] == b"z" else blob[1:]
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
     for kind, size in zip(kinds, sizes, strict=True):
@@ -136,21 +205,22 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_BLOCKS = "block string, raw long, ids binary, lens binary, data binary"
+_BLOCKS = "block long, raw long, ids binary, lens binary, data binary, contexts binary"
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, count = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.string()), ("raw", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("raw", pa.int64()), *((c, pa.binary()) for c in ("ids", "lens", "data", "contexts"))])
         ids, texts, size = [], [], 0
 
         def made() -> pa.RecordBatch:
             nonlocal ids, texts, size, count
-            lens = np.array([len(t) for t in texts], "<i8")
-            row = (f"{part}.{count}", size, np.array(ids, "<i8").tobytes(), lens.tobytes(), _z(b"".join(texts)))
+            lens, data = np.array([len(t) for t in texts], "<i8"), b"".join(texts)
+            contexts = contexts_of(np.frombuffer(data, np.uint8), string_starts(lens, width), width, gram)
+            row = ((part << 32) + count, size, np.array(ids, "<i8").tobytes(), lens.tobytes(), _z(data), _pack(*contexts))
             ids, texts, size, count = [], [], 0, count + 1
             return _table([row], schema)
 
@@ -168,30 +238,16 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    return ((keys >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
 
 
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = bucket.astype(np.uint16) if n < 1 << 16 else bucket  # small keys sort by radix
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order].astype(np.int64), np.arange(n + 1))
-    for b in range(n):
-        if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
-
-
-def _load(row: dict, width: int, gram: int) -> Block:
-    return Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lens"], "<i8"), _unz(row["data"]), width, gram)
-
-
-def _anchor_types(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchor hashes of a block, and in how many of its documents each lies."""
-    order = np.argsort(b.keys, kind="stable")  # documents ascend already
-    k, d = b.keys[order], b.doc[order]
-    new = np.r_[True, (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
-    pair = new | np.r_[True, d[1:] != d[:-1]] if len(k) else new
-    uniq = k[new]
-    return uniq, np.bincount(np.cumsum(new)[pair] - 1, minlength=len(uniq)) if len(k) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return
+    order = np.argsort(bucket.astype(np.uint16) if n < 1 << 16 else bucket, kind="stable")  # small keys sort by radix
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        yield int(bucket[order[lo]]), order[lo:hi]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -200,69 +256,57 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("blob", pa.binary())])
-_SENT_DDL = "bucket int, block string, blob binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("blob", pa.binary())])
+_SENT_DDL = "bucket int, block long, low long, high long, blob binary"
+_ANSWER = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+_ANSWER_DDL = "bucket int, block long, blob binary"
+
 
+def _send_kinds(n: int, width: int, gram: int):
+    """Of each kind of context: its anchor, its hash, and whether its first document is the first or last of the block."""
 
-def _send_anchors(n: int, width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            uniq, held = _anchor_types(_load(row, width, gram))
-            out = [(b, row["block"], _pack((uniq[i] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], np.minimum(held[i], 65535).astype("<u2"))) for b, i in _by_bucket(_buckets(uniq, n), n)]
+            b = Block(row, width, gram)
+            low, high, out = int(b.ids[0]), int(b.ids[-1]), []
+            doc = b.doc[b.one]
+            edge = (doc == low).astype(np.uint8) + 2 * (doc == high).astype(np.uint8)
+            for bucket, i in _by_bucket(_buckets(b.key, n), n):
+                keys = b.key[i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                out.append((bucket, row["block"], low, high, _pack(keys, b.kind[i].astype("<u8"), edge[i], small=False)))
             if out:
                 yield _table(out, _SENT)
 
     return run
 
 
-class Levels:
-    """Sorted indexes of doubling size: key -> value, smaller or summed values kept for equal keys."""
-
-    def __init__(self, combine) -> None:
-        self.levels: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        self.combine = combine
-
-    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
-        if not len(keys):
-            return
-        level = self._sorted(keys, list(values))
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            old = self.levels.pop()
-            level = self._sorted(np.concatenate([old[0], level[0]]), [np.concatenate(x) for x in zip(old[1], level[1], strict=True)])
-        self.levels.append(level)
+def _answer_kinds(hot: int):
+    """For each kind sent: 1 if an earlier document holds it, 2 if it is to be indexed, 4 if its anchor is hot."""
 
-    def _sorted(self, keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        order = np.argsort(keys)
-        k = keys[order]
-        new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        return k[new], [self.combine.reduceat(v[order], new) for v in values]
-
-    def find(self, keys: np.ndarray, none: int) -> np.ndarray:
-        """Merge-scan: the combined first value of each key over all levels."""
-        order = np.argsort(keys)
-        asked, got = keys[order], np.full(len(keys), none, np.int64)  # in order, both sides are read from front to back
-        for k, (v, *_) in self.levels:
-            i = np.minimum(np.searchsorted(k, asked), len(k) - 1)
-            hit = k[i] == asked
-            got[hit] = self.combine(got[hit], v[i[hit]])
-        out = np.empty_like(got)
-        out[order] = got
-        return out
-
-
-def _answer_anchors(hot: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, kept = Levels(np.add), []
-        for row in _rows(batches):
-            raw, held = _unpack(row["blob"], "u1", "<u2")
-            keys = np.zeros((len(held), 8), np.uint8)
-            keys[:, :6] = raw.reshape(-1, 6)
-            keys = keys.view("<u8").ravel()
-            index.add(keys, held.astype(np.int64))
-            kept.append((row["block"], keys))
-        for block, keys in kept:
-            total = index.find(keys, 0)
-            yield _table([(int(key[0].as_py()), block, _pack(np.packbits(total > 1), np.packbits(total >= hot)))], _SENT)
+        sent = sorted(_rows(batches), key=lambda r: r["block"])
+        parts = [_unpack(r.pop("blob"), "u1", "<u8", "u1") for r in sent]
+        size = np.array([len(p[1]) for p in parts])
+        batch = np.repeat(np.arange(len(parts)), size)
+        keys = np.zeros((len(batch), 8), np.uint8)
+        keys[:, :6] = np.concatenate([p[0] for p in parts]).reshape(-1, 6)
+        keys, kinds, edge = keys.view("<u8").ravel(), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        low, high = (np.array([r[c] for r in sent]) for c in ("low", "high"))
+        order, new = by_value(kinds)
+        first = np.empty(len(order), np.int64)  # the entry of the earliest batch with the same context
+        first[order] = np.repeat(order[new], np.diff(np.r_[new, len(order)]))
+        # batches share a document only if one ends and the other begins with it
+        own = first == np.arange(len(first))
+        own |= (edge[first] & 2 > 0) & (edge & 1 > 0) & (high[batch[first]] == low[batch])
+        one = order[new]
+        by_key, begins = by_value(keys[one])
+        held = np.diff(np.r_[begins, len(one)])
+        many = np.zeros(len(first), np.int64)
+        many[one[by_key]] = np.repeat(held, held)
+        many = many[first]
+        said = (~own + 2 * (own & (many > 1)) + 4 * (own & (many >= hot))).astype(np.uint8)
+        for r, hi, k in zip(sent, np.cumsum(size), size, strict=True):
+            yield _table([(int(key[0].as_py()), r["block"], _pack(said[hi - k : hi]))], _ANSWER)
 
     return run
 
@@ -272,48 +316,11 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
 
 
-def _flags(uniq: np.ndarray, answers: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    repeated, hot = np.zeros(len(uniq), bool), np.zeros(len(uniq), bool)
-    told = {a["bucket"]: a["blob"] for a in answers or []}
-    for b, i in _by_bucket(_buckets(uniq, n), n):
-        one, two = _unpack(told[b], "u1", "u1")
-        repeated[i], hot[i] = np.unpackbits(one, count=len(i)).astype(bool), np.unpackbits(two, count=len(i)).astype(bool)
-    return repeated, hot
-
-
-def _contexts(block: Block, repeated: np.ndarray, hot: np.ndarray, uniq: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Strings to compare, as contexts: (first byte, number of strings, key to deal by) of each run of strings of one anchor."""
-    w = block.width
-    order = np.argsort(block.keys)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.searchsorted(uniq, block.keys[order])
-    s = block.starts
-    owner = np.repeat(np.arange(len(block.at)), np.diff(block.runs))
-    clear = repeated[which[owner]]
-    s, owner = s[clear], owner[clear]
-    if not len(s):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    alone = hot[which[owner]]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (s[1:] != s[:-1] + 1) | alone[1:]])
-    n = np.diff(np.r_[new, len(s)])
-    first, key = s[new], block.keys[owner[new]]
-    if alone.any():
-        strings = rolling(block.data, w)
-        key = np.where(alone[new], strings[first], key)
-    return first, n, key
-
-
-def _distinct(block: Block, first: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One context of each kind, of the smallest document: (index of it, kind of every context, hash)."""
-    w = block.width
-    h = rolling(block.data, w)
-    mixed = key ^ (h[first] * np.uint64(3)) ^ (h[first + n - 1] * np.uint64(5)) ^ n.astype(np.uint64)
-    doc = block.ids[np.searchsorted(block.ends, first, side="right")]
-    order = np.lexsort((doc, mixed))
-    new = np.r_[True, mixed[order][1:] != mixed[order][:-1]] if len(order) else np.zeros(0, bool)
-    kind = np.zeros(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return order[new], kind, doc
+def _told(answers: list[dict] | None, keys: np.ndarray, n: int) -> np.ndarray:
+    said, told = np.zeros(len(keys), np.uint8), {a["bucket"]: a["blob"] for a in answers or []}
+    for b, i in _by_bucket(_buckets(keys, n), n):
+        said[i] = _unpack(told[b], "u1")[0]
+    return said
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -322,151 +329,176 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - (ends - n), n)
 
 
-def _prepared(row: dict, n_buckets: int, width: int, gram: int) -> tuple:
-    block = _load(row, width, gram)
-    uniq = np.unique(block.keys)
-    repeated, hot = _flags(uniq, row["answers"], n_buckets)
-    first, n, key = _contexts(block, repeated, hot, uniq)
-    one, kind, doc = _distinct(block, first, n, key)
-    return block, first, n, key, one, kind, doc
+def _indexed(b: Block, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block has indexed: first string, number of strings, key to deal by and kind. Strings of hot anchors go one by one."""
+    plain, hot = np.flatnonzero((said & 6) == 2), np.flatnonzero((said & 6) == 6)
+    hot = hot[np.argsort(b.one[hot])]  # in order of place
+    c, h = b.one[plain], b.one[hot]
+    alone = _spread(b.first[h], b.n[h])
+    first, n = np.r_[b.first[c], alone], np.r_[b.n[c], np.ones(len(alone), np.int64)]
+    key = np.r_[b.key[plain], span_hashes(b.data, alone, (alone, b.width))[0] >> np.uint64(16)]
+    return first, n, key, np.r_[plain, np.repeat(hot, b.n[h])]
 
 
 def _send_contexts(n_buckets: int, width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block, first, n, key, one, _, doc = _prepared(row, n_buckets, width, gram)
-            out = []
-            for b, i in _by_bucket(_buckets(key[one], n_buckets), n_buckets):
-                c = one[i]
-                text = block.data[_spread(first[c], n[c] + width - 1)]
-                out.append((b, row["block"], _pack(text, n[c].astype("<u4"), doc[c].astype("<i8"))))
+            b, out = Block(row, width, gram), []
+            first, n, key, kind = _indexed(b, _told(row["answers"], b.key, n_buckets))
+            doc = b.doc[b.one[kind]]
+            for bucket, i in _by_bucket(_buckets(key, n_buckets), n_buckets):
+                text = b.data[_spread(first[i], n[i] + width - 1)]
+                out.append((bucket, row["block"], 0, 0, _pack(text, n[i].astype("<u2"), doc[i].astype("<i8"))))
             if out:
                 yield _table(out, _SENT)
 
     return run
 
 
-_NONE = np.iinfo(np.int64).max
+class SuffixArray:
+    """Strings in the order of their bytes, each different one once, with the least document it starts in."""
 
+    def __init__(self, strings: np.ndarray, docs: np.ndarray):
+        self.strings, self.docs = strings, docs
 
-def _strings(text: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    size = n.astype(np.int64) + width - 1
-    return _spread(np.cumsum(size) - size, n.astype(np.int64))
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        both, docs = np.concatenate([self.strings, other.strings]), np.concatenate([self.docs, other.docs])
+        order = np.argsort(both, kind="stable")  # two ascending runs: a merge
+        both, docs = both[order], docs[order]
+        new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        return SuffixArray(both[new], np.minimum.reduceat(docs, new))
 
 
-_NONE = np.iinfo(np.int64).max
+class Levels:
+    """A logarithmic family: every batch is scanned against the arrays of the batches before it, then joins them."""
+
+    def __init__(self) -> None:
+        self.levels: list[SuffixArray] = []
+
+    def add(self, strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """For each string of a batch (in any order), whether it also starts in a document less than its own."""
+        if not len(strings):
+            return np.zeros(0, bool)
+        order = np.argsort(strings, kind="stable")
+        ranked = strings[order]
+        new = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        level = SuffixArray(ranked[new], np.minimum.reduceat(docs[order], new))
+        least = level.docs.copy()
+        for old in self.levels:  # both ascend: a merge-scan
+            at = np.minimum(np.searchsorted(old.strings, level.strings), len(old.strings) - 1)
+            hit = old.strings[at] == level.strings
+            least[hit] = np.minimum(least[hit], old.docs[at[hit]])
+        earlier = np.empty(len(order), bool)
+        earlier[order] = np.repeat(least, np.diff(np.r_[new, len(order)])) < docs[order]
+        while self.levels and len(self.levels[-1].strings) <= 2 * len(level.strings):
+            level = self.levels.pop().merged(level)
+        self.levels.append(level)
+        return earlier
 
 
 def _answer_contexts(width: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, kept = Levels(np.minimum), []
-        for row in _rows(batches):
-            text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-            at, docs = _strings(text, n, width), np.repeat(doc, n)
-            keys, other = rolling(text, width)[at], rolling(text, width, _OTHER)[at].astype(np.int64)
-            # the least and (by its complement) the greatest second hash show keys that stand for different strings
-            index.add(keys, docs, other, ~other)
-            kept.append((row, keys))
-        clashing = [k[low != ~high] for k, (_, low, high) in index.levels]
-        clash = np.unique(np.concatenate([*clashing, _between(index.levels)])) if index.levels else np.zeros(0, np.uint64)
-        found = _by_bytes([row for row, _ in kept], clash, width) if len(clash) else {}
-        for row, keys in kept:
-            text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-            least = index.find(keys, _NONE)
-            if len(clash):
-                at = _strings(text, n, width)
-                for i in np.flatnonzero(np.isin(keys, clash)):
-                    least[i] = found[text[at[i] : at[i] + width].tobytes()]
-            yield _table([(int(key[0].as_py()), row["block"], _pack(np.packbits(least < np.repeat(doc, n))))], _SENT)
+        index, bucket = Levels(), int(key[0].as_py())
+        held, size = [], 0
+
+        def scanned() -> pa.RecordBatch:
+            nonlocal held, size
+            earlier = index.add(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+            ends = np.cumsum([len(h[2]) for h in held])
+            out = [(bucket, h[0], _pack(np.packbits(earlier[hi - len(h[2]) : hi]))) for h, hi in zip(held, ends, strict=True)]
+            held, size = [], 0
+            return _table(out, _ANSWER)
+
+        for row in sorted(_rows(batches), key=lambda r: r["block"]):
+            text, n, doc = _unpack(row["blob"], "u1", "<u2", "<i8")
+            n = n.astype(np.int64)
+            span = n + width - 1
+            at = _spread(np.cumsum(span) - span, n)
+            held.append((row["block"], np.ndarray((len(text) - width + 1,), f"S{width}", text, strides=(1,))[at], np.repeat(doc, n)))
+            size += len(at)
+            if size >= BATCH:
+                yield scanned()
+        if held:
+            yield scanned()
 
     return run
 
 
-def _between(levels: list[tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
-    """Keys whose second hash differs from one level to another."""
-    out = [np.zeros(0, np.uint64)]
-    for i, (k, v) in enumerate(levels):
-        for k2, v2 in levels[i + 1 :]:
-            j = np.minimum(np.searchsorted(k, k2), len(k) - 1)
-            out.append(k2[(k[j] == k2) & (v[1][j] != v2[1])])
-    return np.concatenate(out)
-
-
-def _by_bytes(rows: list[dict], clash: np.ndarray, width: int) -> dict[bytes, int]:
-    """The least document of each string whose key stands for several."""
-    found: dict[bytes, int] = {}
-    for row in rows:
-        text, n, doc = _unpack(row["blob"], "u1", "<u4", "<i8")
-        at, docs = _strings(text, n, width), np.repeat(doc, n)
-        keys = rolling(text, width)[at]
-        for i in np.flatnonzero(np.isin(keys, clash)):
-            s = text[at[i] : at[i] + width].tobytes()
-            found[s] = min(found.get(s, _NONE), int(docs[i]))
-    return found
-
-
-def _covered(row: dict, n_buckets: int, width: int, gram: int) -> tuple[Block, np.ndarray]:
-    """A block and which of its bytes go."""
-    block, first, n, key, one, kind, doc = _prepared({**row, "answers": row["anchors"]}, n_buckets, width, gram)
-    least = np.zeros(len(one), np.int64)
-    told = {a["bucket"]: a["blob"] for a in row["found"] or []}
-    size, gone = n[one], None
-    starts = np.cumsum(size) - size
-    earlier = np.zeros(int(size.sum()), bool)
-    for b, i in _by_bucket(_buckets(key[one], n_buckets), n_buckets):
-        (bits,) = _unpack(told[b], "u1")
-        earlier[_spread(starts[i], size[i])] = np.unpackbits(bits, count=int(size[i].sum())).astype(bool)
-    least = doc[one]
-    # a context's answer holds for its own document; of later documents with the same context every string goes
-    mine = earlier[_spread(starts[kind], n)] | np.repeat(doc > least[kind], n)
-    gone = _spread(first, n)[mine]
-    mark = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(mark, gone, 1)
-    np.add.at(mark, gone + width, -1)
-    return block, np.cumsum(mark[:-1]) > 0
+def _covered(b: Block, said: np.ndarray, found: list[dict] | None, n_buckets: int) -> np.ndarray:
+    """Which bytes of a block go."""
+    size = len(b.data)
+    edges = np.zeros(size + 1, np.int8)
+    # a kind's answer holds for its first document; of later documents with the same context every string goes
+    whole = (said[b.of] & 1 > 0) | (b.doc > b.doc[b.one[b.of]])
+    edges[b.first[whole]] += 1
+    edges[b.first[whole] + b.n[whole]] -= 1
+    starts = np.cumsum(edges[:size], dtype=np.int8) > 0
+    first, n, key, kind = _indexed(b, said)
+    told, begins = {a["bucket"]: a["blob"] for a in found or []}, np.cumsum(n) - n
+    earlier = np.zeros(int(n.sum()), bool)
+    for bucket, i in _by_bucket(_buckets(key, n_buckets), n_buckets):
+        bits = _unpack(told[bucket], "u1")[0]
+        earlier[_spread(begins[i], n[i])] = np.unpackbits(bits, count=int(n[i].sum())).astype(bool)
+    # the answers of a kind, string after string, hold for each context of it
+    marked = _spread(first, n)[earlier] - np.repeat(b.first[b.one[kind]], n)[earlier]
+    if len(marked):
+        kinds = np.repeat(kind, n)[earlier]
+        more = np.flatnonzero(np.isin(b.of, kinds) & ~whole)
+        bits = np.zeros((len(b.one), int(b.n.max())), bool)
+        bits[kinds, marked] = True
+        at = _spread(b.first[more], b.n[more])
+        starts[at[bits[np.repeat(b.of[more], b.n[more]), at - np.repeat(b.first[more], b.n[more])]]] = True
+    seen = np.cumsum(starts, dtype=np.int32)
+    seen[b.width :] -= seen[: -b.width].copy()
+    return seen > 0
 
 
 def _finish(n_buckets: int, width: int, gram: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            block, gone = _covered(row, n_buckets, width, gram)
-            out = []
-            for i, lo, hi in zip(block.ids, block.ends - block.lens, block.ends, strict=True):
-                g = gone[lo:hi]
-                kept = block.data[lo:hi][~g].tobytes()
-                spans = int((g[1:] & ~g[:-1]).sum() + (len(g) > 0 and g[0]))
-                out.append((int(i), int(hi - lo), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None, hashlib.sha256(block.data[lo:hi].tobytes()).hexdigest() if texts else None, kept.decode("utf-8", "ignore") if texts else None))
+            b, out = Block(row, width, gram), []
+            gone = _covered(b, _told(row["anchors"], b.key, n_buckets), row["found"], n_buckets)
+            for i, lo, hi in zip(b.ids.tolist(), (b.ends - b.lens).tolist(), b.ends.tolist(), strict=True):
+                g, source = gone[lo:hi], b.data[lo:hi]
+                n = int(np.count_nonzero(g))
+                kept = source[~g].tobytes() if n else source.tobytes()
+                spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if n else 0
+                out.append((i, hi - lo, n, spans, hashlib.sha256(kept).hexdigest(), *((kept, hashlib.sha256(source.tobytes()).hexdigest(), kept.decode("utf-8", "ignore")) if texts else (None,) * 3)))
             yield _table(out, pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("source_sha256", pa.string()), ("kept_text", pa.string())]))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row. doc_id is an integer column.
 
     If texts is set, also kept (the remaining bytes), kept_text (these as text, without the halves of characters that a
     cut splits) and source_sha256 (of the whole text).
 
     Null text counts as empty. Rows with one doc_id count as one document for what is smaller, so they remove nothing
-    of each other; each keeps its own row. A null doc_id comes before all others. Texts under `width` bytes keep all.
+    of each other; each keeps its own row. A null doc_id comes before all others. Texts under `width` bytes keep all. An empty
+    table gives no rows. Columns of other names, clashing ones too, are not looked at.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer column, not {kind}")
+    if not 1 <= gram <= width <= REACH // 2:
+        raise ValueError(f"gram must be at least 1 and no more than width, and width at most {REACH // 2}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("text").cast("binary"))
+    rows = rows.withColumn("h", F.xxhash64("text"))  # a doc_id of very many rows is spread
+    rows = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id").select("id", "text")
     path = shared_dir(spark)
-    _blocks(rows, block_bytes).write.option("compression", "uncompressed").parquet(path)
+    _blocks(rows, block_bytes, width, gram).write.option("compression", "uncompressed").parquet(path)
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     total = blocks.agg(F.sum("raw")).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-total // (8 << 20)))
-    flat = _SENT_DDL
-    sent = blocks.mapInArrow(_send_anchors(n, width, gram), flat)
-    anchors = _gathered(sent.groupBy("bucket").applyInArrow(_answer_anchors(hot), flat))
-    anchors = stash(anchors)
+    sent = blocks.mapInArrow(_send_kinds(n, width, gram), _SENT_DDL)
+    anchors = stash(_gathered(sent.groupBy("bucket").applyInArrow(_answer_kinds(hot), _ANSWER_DDL)))
     known = blocks.join(checked(anchors), "block", "left")
-    contexts = known.mapInArrow(_send_contexts(n, width, gram), flat)
-    found = stash(_gathered(contexts.groupBy("bucket").applyInArrow(_answer_contexts(width), flat)))
+    contexts = known.mapInArrow(_send_contexts(n, width, gram), _SENT_DDL)
+    found = stash(_gathered(contexts.groupBy("bucket").applyInArrow(_answer_contexts(width), _ANSWER_DDL)))
     both = blocks.join(checked(anchors.withColumnRenamed("answers", "anchors")), "block", "left").join(checked(found.withColumnRenamed("answers", "found")), "block", "left")
     done = both.mapInArrow(_finish(n, width, gram, texts), "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, source_sha256 string, kept_text string")
-    kind = dict(docs.dtypes)["doc_id"]
     doc_id = F.when(F.col("row_id") == -(2**63), F.lit(None)).otherwise(F.col("row_id")).cast(kind).alias("doc_id")
     return done.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "source_sha256", "kept_text"] if texts else []))
