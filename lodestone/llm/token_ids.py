@@ -28,10 +28,11 @@ LONG_PIECE = 48  # longer pieces are encoded each time, not remembered
 SLICE_CHARS = 1 << 21  # text split at once
 ROW_PIECES = 4096  # new pieces encoded as one text
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: texts with none of these are cut into words and what lies between them
+#: texts are cut into words, with a space before them that follows no other white space, and what lies between them
+_PIECES = re.compile(rf" ?[{_LATIN}]+|[^{_LATIN}]+?(?=[{_LATIN}]|(?<!\s) [{_LATIN}]|\Z)")
+#: texts with any of these between words
 _UNUSUAL = re.compile(rf"\s\s|'|[^\x00-\x7f{_LATIN}«»„“”…–—€]")
-_PIECES = re.compile(rf" ?[{_LATIN}]+|[^{_LATIN}]+?(?= ?[{_LATIN}]|\Z)")
-#: other texts are cut at single spaces between two characters that are no white space
+#: are cut at single spaces between two characters that are no white space
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -50,6 +51,7 @@ class ByteBpe:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.unusual: set[str] = set()  # pieces between words that texts are not cut around
         self.sizes = np.zeros(self.tok.get_vocab_size(), np.int64)  # bytes of each id: its characters stand for one byte each
         for token, i in self.tok.get_vocab().items():
             self.sizes[i] = len(token)
@@ -66,11 +68,18 @@ class ByteBpe:
         yield from self._slice(some)
 
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [_SAFE_SPACE.split(t) if _UNUSUAL.search(t) else _PIECES.findall(t) for t in texts]
+        cut = [_PIECES.findall(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        known = fresh = self._new(new)
+            self.unusual.clear()
+        new = set().union(*cut).difference(self.known)
+        found = {w for w in new if _UNUSUAL.search(w)}
+        if found or self.unusual:
+            self.unusual |= {w for w in found if len(w) <= LONG_PIECE}
+            found |= self.unusual
+            cut = [c if found.isdisjoint(c) else _SAFE_SPACE.split(t) for c, t in zip(cut, texts, strict=True)]
+            new = set().union(*cut).difference(self.known)
+        known = fresh = self._new(list(new))
         if any(len(w) > LONG_PIECE for w in new):
             known = {w: x for w, x in fresh.items() if len(w) <= LONG_PIECE}
         self.known.update(known)
@@ -147,7 +156,7 @@ def write_tokens(encoded: DataFrame, path: str, row_group_bytes: int = 32 << 20,
     """Writes encode_sorted() rows; a lost task is redone by Spark's committer."""
     encoded.write.options(**{
         "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000",
-        "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2", "compression": "zstd",
+        "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",
     }).parquet(path)
 
 
