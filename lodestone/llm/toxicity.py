@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary text, give every expression (a lower-cased word) a probability: its absolute-
-discounted count of documents in the class, backed off to the class's continuation count of its prefix (how many
-kinds of words it begins), backed off to the continuation counts that both classes share. A document's evidence is the
-length-normalised difference of the two log-likelihoods, over the whole text and over its most telling words; a
+Two models, of toxic and of ordinary text, give every expression (a lower-cased word) a probability: its count of
+documents in the class less a discount, which grows with the count and follows from how many words have each count
+(modified Kneser-Ney), plus the discounted mass dealt by the counts that both classes share. So a rare expression leans on the shared
+counts, where both classes agree, and only what a class holds beyond its share tells. A document's evidence is
+the length-normalised difference of its two log-likelihoods, and the sum and the greatest of its telling differences; a
 logistic map, fitted with each document's own counts left out, turns it into a score from 0 to 1.
 """
 
@@ -22,10 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.common import BROADCAST_BYTES, checked, pick, stash
 
-PREFIX = 5
-DISCOUNT = 0.75
-UNSEEN = 1 << 18  # kinds of prefixes that the shared model allows for besides those counted
-LOCAL_ROWS = 1 << 20  # words, and prefixes, that a task looks up itself, the commonest first; the others are joined
+NOVEL = 0.05  # documents that the shared counts allow a word besides those counted
+LOCAL_ROWS = 1 << 20  # words that a task looks up itself, the commonest first; the others are joined
 CALIBRATION_ROWS = 4000  # labelled rows that the logistic map is fitted on, chosen by a hash of doc_id
 EMIT_WORDS = 300_000
 _WORD = re.compile(r"\w+")
@@ -40,38 +39,38 @@ def words_of(text: str | None) -> list[str]:
 @dataclass
 class Model:
     words: dict[str, tuple[int, int]]  # documents of (toxic, ordinary) text that hold the word; of the calibration rows' words
-    prefixes: dict[str, tuple[int, int]]  # kinds of words with the prefix; of the calibration rows' words
     docs: tuple[int, int]  # sums of the words' counts
-    kinds: tuple[int, int]
-    starts: tuple[int, int]  # kinds of prefixes
+    discounts: tuple[list[float], list[float]]  # of each class, for counts of 0, 1, 2 and more
+    spare: tuple[float, float]  # share of each class that the discounts leave to the shared counts
     map: np.ndarray | None = None  # the logistic map
-    table: DataFrame | None = None  # (word, seen, ratio) of all training words; (word, seen, ratio) of prefixes if head
-    rows: int = 0  # of the larger half of the table
+    table: DataFrame | None = None  # (word, seen, ratio) of all training words
+    rows: int = 0  # of the table
 
     def ratio(self, word: str, own: int | None = None) -> float:
-        """ln P(word | toxic) - ln P(word | ordinary); own: the class of a document whose counts are left out."""
-        n, t = list(self.words.get(word, (0, 0))), list(self.prefixes.get(word[:PREFIX], (0, 0)))
-        if own is not None:
-            if n[own]:
-                n[own] -= 1
-                t[own] -= n[own] == 0 and t[own] > 0
-            elif t[own]:
-                t[own] -= 1
-        shared = (sum(t) + 1) / (sum(self.kinds) + UNSEEN)
-        p = []
-        for c in (0, 1):
-            kinds, docs = max(1, self.kinds[c]), max(1, self.docs[c])
-            low = max(t[c] - DISCOUNT, 0) / kinds + DISCOUNT * max(1, self.starts[c]) / kinds * shared
-            p.append(max(n[c] - DISCOUNT, 0) / docs + DISCOUNT * kinds / docs * low)
+        """ln P(word | toxic) - ln P(word | ordinary); own: the class of a document with the word whose counts are left out."""
+        n = list(self.words.get(word, (0, 0)))
+        if own is not None and n[own]:
+            n[own] -= 1
+        return self.of_counts(n[0], n[1])
+
+    def of_counts(self, n0: int, n1: int) -> float:
+        shared = (n0 + n1 + NOVEL) / max(1, sum(self.docs))
+        p = [(n - d[min(n, 3)]) / max(1, docs) + spare * shared for n, d, docs, spare in zip((n0, n1), self.discounts, self.docs, self.spare, strict=True)]
         return float(np.log(p[0] / p[1]))
 
 
-def evidence(ratios: list[float]) -> tuple[float, float, float, float]:
-    """Features of a text: the mean difference, the greatest, the sum of telling ones and their share."""
+def discounts_of(kinds: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and more, from the number of words with a count of 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = (max(1, x) for x in kinds)
+    y = n1 / (n1 + 2 * n2)
+    return [0.0, *(float(np.clip(k - (k + 1) * y * above / at, 0.1 * k, 0.95 * k)) for k, at, above in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+
+
+def evidence(ratios: list[float]) -> tuple[float, float, float]:
+    """Features of a text: the mean difference, the greatest, and the logarithm of the sum of telling ones."""
     if not ratios:
-        return 0.0, 0.0, 0.0, 0.0
-    telling = [x for x in ratios if x > CUT]
-    return sum(ratios) / len(ratios), max(0.0, max(ratios)), np.log1p(sum(telling)), len(telling) / len(ratios) ** 0.5
+        return 0.0, 0.0, 0.0
+    return sum(ratios) / len(ratios), max(0.0, max(ratios)), np.log1p(sum(x for x in ratios if x > CUT))
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -100,34 +99,31 @@ def _counts(train: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """labelled: (doc_id, text, toxic boolean). Counts come from all of it; only the logistic map reads a bounded sample."""
     counts = stash(_counts(labelled))
-    heads = counts.groupBy(F.substring("word", 1, PREFIX).alias("head")).agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)])
-    heads = stash(heads)
-    totals = counts.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)) for c in (0, 1)], *[F.coalesce(F.sum((F.col(f"n{c}") > 0).cast("long")), F.lit(0)) for c in (0, 1)]).first()
-    starts = heads.agg(*[F.coalesce(F.sum((F.col(f"t{c}") > 0).cast("long")), F.lit(0)) for c in (0, 1)]).first()
+    sums = counts.agg(
+        *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"docs{c}") for c in (0, 1)],
+        *[F.count(F.when(F.col(f"n{c}") == k, 1)).alias(f"k{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)],
+        *[F.count(F.when(F.col(f"n{c}") > 2, 1)).alias(f"more{c}") for c in (0, 1)],
+    ).first()
+    docs = (sums["docs0"], sums["docs1"])
+    discounts = tuple(discounts_of([sums[f"k{c}{k}"] for k in (1, 2, 3, 4)]) for c in (0, 1))
+    left = [d[1] * sums[f"k{c}1"] + d[2] * sums[f"k{c}2"] + d[3] * sums[f"more{c}"] for c, d in enumerate(discounts)]
+    spare = tuple(x / n if n else 1.0 for x, n in zip(left, docs, strict=True))
     chosen = stash(_calibration(labelled, calibration_rows))
     near = stash(chosen.select("text").mapInArrow(_distinct, "word string").distinct())
     words = counts.join(checked(near), "word", "left_semi").toArrow().to_pydict()
-    near_heads = stash(near.select(F.substring("word", 1, PREFIX).alias("head")).distinct())
-    prefixes = heads.join(checked(near_heads), "head", "left_semi").toArrow().to_pydict()
-    model = Model(
-        dict(zip(words["word"], zip(words["n0"], words["n1"], strict=True), strict=True)), dict(zip(prefixes["head"], zip(prefixes["t0"], prefixes["t1"], strict=True), strict=True)),
-        (totals[0], totals[1]), (totals[2], totals[3]), (starts[0], starts[1]),
-    )
+    model = Model(dict(zip(words["word"], zip(words["n0"], words["n1"], strict=True), strict=True)), docs, discounts, spare)
     model.map = _fit_map(chosen, model)
-    bare = Model({}, {}, model.docs, model.kinds, model.starts)
+    bare = Model({}, docs, discounts, spare)
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], float] = {}
         for b in batches:
-            found = []
-            for word, head, n0, n1, t0, t1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                bare.words, bare.prefixes = {word: (n0, n1)}, {word[:PREFIX]: (t0, t1)}
-                found.append(bare.ratio(word))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + y for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.int64()), pa.array(found, pa.float64())], ["word", "head", "seen", "ratio"])
-
-    of_words = counts.withColumn("head", F.substring("word", 1, PREFIX)).join(heads, "head").select("word", F.lit(False).alias("head"), "n0", "n1", "t0", "t1")
-    of_heads = heads.select(F.col("head").alias("word"), F.lit(True).alias("head"), F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"), "t0", "t1")
-    model.table = stash(of_words.unionByName(of_heads).mapInArrow(ratios, "word string, head boolean, seen long, ratio double"))
-    model.rows = max([r["count"] for r in model.table.groupBy("head").count().collect()], default=0)
+            pairs = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            known.update({p: bare.of_counts(*p) for p in set(pairs).difference(known)})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + y for x, y in pairs], pa.int64()), pa.array([known[p] for p in pairs], pa.float64())], ["word", "seen", "ratio"])
+
+    model.table = stash(counts.select("word", "n0", "n1").mapInArrow(ratios, "word string, seen long, ratio double"))
+    model.rows = model.table.count()
     return model
 
 
@@ -154,7 +150,7 @@ def _fit_map(chosen: DataFrame, model: Model) -> np.ndarray:
 
     got = chosen.select("text", "toxic").mapInArrow(run, "f array<double>, toxic boolean").toArrow()
     if not got.num_rows:
-        return np.array([-3.0, 0, 0, 0, 0])
+        return np.array([-3.0, 0, 0, 0])
     x = np.c_[np.ones(got.num_rows), np.array(got.column("f").to_pylist())]
     y = got.column("toxic").to_numpy().astype(float)
     return logistic_map(x, y)
@@ -194,17 +190,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, local_row
     document are joined with them, so local_rows changes no result.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    known, default = [], Model({}, {}, model.docs, model.kinds, model.starts).ratio("")
-    for head in (False, True):
-        t = model.table.where(F.col("head") == head).orderBy(F.desc("seen"), "word").limit(local_rows).select("word", "ratio").toArrow()
-        known.append(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)))
+    default = model.of_counts(0, 0)
+    t = model.table.orderBy(F.desc("seen"), "word").limit(local_rows).select("word", "ratio").toArrow()
     whole, weights = model.rows <= local_rows, model.map
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, heads = sent.value
+        words = sent.value
         for b in batches:
-            f = np.array([(1.0, *evidence([words[w] if w in words else heads.get(w[:PREFIX], default) for w in words_of(t.as_py())])) for t in b.column(1)]).reshape(-1, 5)
+            f = np.array([(1.0, *evidence([words.get(w, default) for w in words_of(t.as_py())])) for t in b.column(1)]).reshape(-1, 4)
             p = _logistic(f, weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -213,34 +207,31 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, local_row
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row one entry without a word, with the sums over words known here, and one for each other distinct word."""
-        words = sent.value[0]
+        words = sent.value
         for b in batches:
             out = []
             for row, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 counts = Counter(words_of(t.as_py()))
                 here = [(words[w], n) for w, n in counts.items() if w in words]
-                telling = [(x, n) for x, n in here if x > CUT]
-                out.append((row, d, None, sum(n for _, n in here), sum(x * n for x, n in here), max((x for x, _ in here), default=0.0), sum(x * n for x, n in telling), sum(n for _, n in telling)))
-                out += [(row, d, w, n, 0.0, 0.0, 0.0, 0) for w, n in counts.items() if w not in words]
+                out.append((row, d, None, sum(n for _, n in here), sum(x * n for x, n in here), max((x for x, _ in here), default=0.0), sum(x * n for x, n in here if x > CUT)))
+                out += [(row, d, w, n, 0.0, 0.0, 0.0) for w, n in counts.items() if w not in words]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names)
 
-    names = ["row", "doc_id", "word", "n", "total", "most", "telling", "n_telling"]
+    names = ["row", "doc_id", "word", "n", "total", "most", "telling"]
     id_type = to_arrow_type(docs.select("doc_id").schema[0].dataType)
-    kinds = [pa.int64(), id_type, pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [pa.int64(), id_type, pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    dealt = stash(rows.mapInArrow(deal, f"row long, doc_id {kind}, word string, n long, total double, most double, telling double, n_telling long"))
-    of_words, of_heads = (model.table.where(F.col("head") == h).select(F.col("word").alias(f"key{int(h)}"), F.col("ratio").alias(f"ratio{int(h)}")) for h in (False, True))
+    dealt = stash(rows.mapInArrow(deal, f"row long, doc_id {kind}, word string, n long, total double, most double, telling double"))
     # each distinct word is looked up once; a null word has no ratio
     asked = dealt.where("word is not null").select("word").distinct()
-    found = asked.join(of_words, F.col("word") == F.col("key0"), "left").join(of_heads, F.substring("word", 1, PREFIX) == F.col("key1"), "left")
-    found = stash(found.select(F.col("word").alias("asked"), F.coalesce("ratio0", "ratio1", F.lit(default)).alias("ratio")))
-    x, told = F.col("ratio"), F.col("ratio") > CUT
+    found = asked.join(model.table.select(F.col("word").alias("key"), "ratio"), F.col("word") == F.col("key"), "left")
+    found = stash(found.select(F.col("word").alias("asked"), F.coalesce("ratio", F.lit(default)).alias("ratio")))
+    x = F.col("ratio")
     met = dealt.join(checked(found), F.col("word") == F.col("asked"), "left").groupBy("row", "doc_id").agg(
         F.sum("n").alias("n"), F.sum(F.coalesce(x * F.col("n"), "total")).alias("total"), F.max(F.greatest(F.coalesce(x, "most"), F.lit(0.0))).alias("most"),
-        F.sum(F.when(told, x * F.col("n")).otherwise(F.col("telling"))).alias("telling"), F.sum(F.when(told, F.col("n")).otherwise(F.col("n_telling"))).alias("n_telling"),
+        F.sum(F.when(x > CUT, x * F.col("n")).otherwise(F.col("telling"))).alias("telling"),
     )
-    n = F.greatest("n", F.lit(1))
-    parts = [F.lit(1.0), F.col("total") / n, F.col("most"), F.log1p("telling"), F.col("n_telling") / F.sqrt(n)]
+    parts = [F.lit(1.0), F.col("total") / F.greatest("n", F.lit(1)), F.col("most"), F.log1p("telling")]
     z = sum((f * float(w) for f, w in zip(parts, weights, strict=True)), F.lit(0.0))
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     return met.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
