@@ -49,7 +49,8 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["lang", "n"])
 
     some = pick(docs, "doc_id", "lang").dropna().orderBy(F.xxhash64("doc_id"), "lang").limit(max_rows)
-    got = pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").select("lang", "text").coalesce(16).mapInArrow(run, "lang string, n binary").collect()
+    chosen = stash(pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").select("lang", "text"))
+    got = chosen.coalesce(16).mapInArrow(run, "lang string, n binary").collect()
     names = sorted({r.lang for r in got})
     counts = np.zeros((len(names), TABLE))
     for r in got:
