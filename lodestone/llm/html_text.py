@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass cuts a page into blocks and labels each by stop-word density, length and link density, with
-what the page's own markup says (an article element, or regions named as menu, footer, advert and the like).
-In the second pass, short blocks that the first left open take the label of their nearest decided neighbours.
+The first pass cuts a page into blocks and labels each by stop-word density, length and link density. What the page's own
+markup says enters as a prior: regions named as menu, footer, advert and the like are bad, an article or main element
+shifts the limits for its blocks. In the second pass, blocks that the first left open take the label of their nearest
+decided neighbours.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ VOID = tuple("area base br col embed hr img input link meta param source track w
 NAMES = tuple("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav header masthead topbar toolbar comment comments commentlist respond replies reply disqus discussion share sharing social related recommended newsletter subscribe signup login widget widgets pagination pager skip hidden copyright legal disclaimer".split())
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar")
 STOP_WORDS = frozenset("the of and to in is that it for as was with on be by at this are or from an not have has had but his her they which you we de la le les et des un une du que en est pour dans au qui sur par pas plus ne se ce il elle avec der die das und ist von zu den mit nicht ein eine auf dem des sich im für als auch es an werden aus el los las y una por con para su al lo como más pero sus no del sobre".split())
-LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.20, 0.30, 70, 200
+LINK_DENSITY, MAIN_LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.75, 0.12, 0.20, 70, 200
+OUTWEIGH = 4  # times the text of a main element that good text outside must have to count beside it
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|aria-label|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -38,7 +40,7 @@ class Block:
     text: list[str] = field(default_factory=list)
     linked: int = 0
     chars: int = 0
-    inside: bool = False  # of the page's main container
+    main: int = 0  # number of the outermost main element around it
     out: bool = False  # in a region that is no part of the article
     head: bool = False
 
@@ -64,13 +66,13 @@ def _named_out(tag: str, attrs: str) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order; end tags that are missing or too many do no harm."""
     found, stack, block = [], [], Block()
-    links = 0
+    links, mains = 0, 0
 
     def flush(fresh: bool = True) -> None:
         nonlocal block
         if block.text and "".join(block.text).strip():
             found.append(block)
-        block = Block(inside=any(x[2] for x in stack), out=any(x[1] for x in stack), head=bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        block = Block(main=next((x[2] for x in stack if x[2]), 0), out=any(x[1] for x in stack), head=bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
     def put(raw: str) -> None:
         text = html.unescape(raw)
@@ -121,6 +123,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID and tag != "hr":
             continue
         out, main = _named_out(tag, attrs), tag in ("article", "main") or "role" in attrs and bool(re.search(r"role\s*=\s*[\"']?main\b", attrs))
+        mains += main
+        main *= mains
         if tag in BLOCKS or tag in REGIONS:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
@@ -137,22 +141,55 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _first(b: Block, text: str) -> str:
-    """good, bad, near or short."""
+def first_pass(b: Block, text: str) -> str:
+    """good, bad, near (good if a neighbour is) or short, by stop words, length and links. A main element only shifts the limits."""
     link = b.linked / max(1, b.chars)
-    if b.out:
-        return "bad"
-    if b.inside:
-        return "good"
-    if link > LINK_DENSITY or text.startswith("©"):
-        return "bad"
+    if b.out or text.startswith("©") or link > (MAIN_LINK_DENSITY if b.main else LINK_DENSITY):
+        return "short" if b.head and b.main and not b.out else "bad"
+    if len(text) < SHORT:
+        return "bad" if b.linked and not b.main else "short"
     words = text.lower().split()
     stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) < SHORT:
-        return "bad" if b.linked else "short"
     if stop >= STOP_HIGH:
         return "good" if len(text) > LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW or b.main else "bad"
+
+
+def _settled(blocks: list[Block], texts: list[str], first: list[str]) -> list[str]:
+    """Blocks outside a main element are bad, unless the densities find several times its text there."""
+    inside = sum(len(t) for b, t, x in zip(blocks, texts, first, strict=True) if b.main and x != "bad")
+    outside = sum(len(t) for b, t, x in zip(blocks, texts, first, strict=True) if not b.main and x == "good")
+    if inside and outside <= OUTWEIGH * inside:
+        return [x if b.main else "bad" for b, x in zip(blocks, first, strict=True)]
+    return first
+
+
+def second_pass(blocks: list[Block], first: list[str]) -> list[bool]:
+    """Open blocks take the label of their nearest decided neighbours, inside a main element of those in it.
+
+    A near one needs one good neighbour, a short one two, or one after it if it is a heading. A short one counts near ones as decided.
+    Where nothing is decided, the open ones are all there is, and stay.
+    """
+    out = []
+    for i, kind in enumerate(first):
+        if kind in ("good", "bad"):
+            out.append(kind == "good")
+            continue
+        main, decided = blocks[i].main, ("good", "bad") if kind == "near" else ("good", "bad", "near")
+        sides = []
+        for step in (range(i - 1, -1, -1), range(i + 1, len(first))):
+            side = next((first[j] for j in step if blocks[j].main == main and first[j] in decided), None)
+            sides.append(None if side is None else side != "bad")
+        known = [x for x in sides if x is not None]
+        if not known:
+            out.append(True)
+        elif main:  # its edges are no neighbours
+            out.append(any(known) if kind == "near" or blocks[i].head and sides[1] else all(known))
+        elif kind == "near":
+            out.append(any(known) or "good" not in first)
+        else:
+            out.append(known == [True, True] or bool(blocks[i].head and sides[1]) or not {"good", "near"} & set(first))
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -162,20 +199,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page)
     texts = [" ".join("".join(b.text).split()) for b in blocks]
     blocks, texts = [b for b, t in zip(blocks, texts, strict=True) if t], [t for t in texts if t]
-    marked = any(b.inside and not b.out for b in blocks)
-    first = [("bad" if marked and not b.inside else _first(b, t)) for b, t in zip(blocks, texts, strict=True)]
-    if not marked and not {"good", "near"} & set(first) and "short" in first:
-        first = ["good" if x == "short" else x for x in first]  # a page of short blocks only
-    label = list(first)
-    for i, kind in enumerate(first):
-        if kind in ("short", "near"):
-            before = next((first[j] for j in range(i - 1, -1, -1) if first[j] in (("good", "bad") if kind == "near" else ("good", "bad", "near"))), "bad")
-            after = next((first[j] for j in range(i + 1, len(first)) if first[j] in (("good", "bad") if kind == "near" else ("good", "bad", "near"))), "bad")
-            good = [x != "bad" for x in (before, after)]
-            label[i] = "good" if all(good) or any(good) and (kind == "near" or blocks[i].head and good[1]) else "bad"
-            if kind == "near" and not any(good) and "good" not in first:
-                label[i] = "good"
-    return "\n".join(t for t, kind in zip(texts, label, strict=True) if kind == "good")
+    first = _settled(blocks, texts, [first_pass(b, t) for b, t in zip(blocks, texts, strict=True)])
+    return "\n".join(t for t, good in zip(texts, second_pass(blocks, first), strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
