@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the query language.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "have", "has", "how", "what", "where", "when", "which", "who", "why", "does", "into", "its", "but", "all", "can", "use")
+STOP_WORDS = tuple(
+    "the and for with from into when where which that this than then also only not are was were has have been will should can its all any each some such via per after before over under "
+    "code generated given retrieve relevant "
+    "add adds added remove removes removed fix fixes fixed use uses used make makes update updates updated change changes changed allow allows avoid avoids ensure ensures keep keeps rename renames support supports implement implements improve improves prevent prevents replace replaces refactor simplify".split()
+)
+COMMON_NAMES = tuple("default from into drop clone hash next main test tests build load read write init name path call with apply parse find self mod lib index none some true false type impl args data item node text value values error result state config output".split())
 MAX_TERMS, MAX_SYMBOLS = 24, 12
 SNIPPET_BYTES = 400
 SOURCE_PRIOR = 0.004
@@ -264,3 +269,8 @@ def node_parts(node: Column) -> Column:
 
 def usable_term(term: Column) -> Column:
     return (F.length(term) >= 3) & ~F.lower(term).isin(*STOP_WORDS)
+
+
+def usable_name(name: Column, least: int = 4) -> Column:
+    """A name that is long enough and does not occur everywhere."""
+    return (F.octet_length(name) >= least) & ~F.lower(name).isin(*COMMON_NAMES)

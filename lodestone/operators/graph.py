@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,18 @@ def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         front = new.join(seen, "node", "left_anti").withColumn("hops", F.lit(step).cast("long"))
         seen = seen.unionByName(front)
         if step % 3 == 0:
-            seen, front = _cut(seen), _cut(front)
+            seen, front = cut(seen), cut(front)
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the folder that the session names. Only where one machine does all may it be a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
 
 
@@ -96,16 +100,25 @@ def on_shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, depth:
     return both.crossJoin(F.broadcast(least)).where("whole = least").select("node", "hops")
 
 
-def pagerank(links: DataFrame, jump: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(node, rank): personalised PageRank; what dangling nodes hold goes back to the jump distribution. jump: (node, p), sum 1."""
+def pagerank(links: DataFrame, jump: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(node, rank): personalised PageRank; what dangling nodes hold goes back to the jump distribution. jump: (node, p), sum 1.
+
+    Stops after `rounds`, or before if the ranks of two rounds differ by less than `tolerance` in all.
+    """
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).unionByName(jump.select("node")).distinct()
     p = nodes.join(jump, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     out = links.groupBy("src").agg(F.count("*").alias("n"))
-    rank = p.select("node", F.col("p").alias("rank"))
+    shares = cut(links.join(out, "src").select("src", "dst", "n"))
+    p = cut(p.join(out, F.col("node") == F.col("src"), "left").select("node", "p", F.col("n").isNull().alias("dangling")))
+    rank = p.select("node", "p", "dangling", F.col("p").alias("rank"))
     for i in range(rounds):
-        flow = links.join(out, "src").join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        lost = rank.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = p.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))
-        if i % 3 == 2:
-            rank = _cut(rank)
-    return rank
+        flow = shares.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        new = (1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))
+        after = rank.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        if i % 3 == 2 or tolerance is not None:
+            after = cut(after)
+        rank = after.drop("moved")
+        if tolerance is not None and (after.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+            break
+    return rank.select("node", "rank")

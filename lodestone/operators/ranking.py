@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import cut
+
 RRF_K = 60
 
 
@@ -70,12 +72,25 @@ def fuse(channels: dict[str, tuple[DataFrame, float]], key: list[str], rrf_k: in
     return rows.groupBy(*key).agg(F.round(F.sum("s"), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
 
 
-def cap_per_file(ranked: DataFrame, most: int, file: str = "file", rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with a rank over all rows: each task numbers a range of the order, and the sizes of the ranges before it are added."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # within a partition the increasing id counts rows in its low 33 bits, above stands the number of the partition
+    own = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    bases = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return own.join(F.broadcast(bases), part == F.col("_part")).withColumn(name, place).drop("_at", "_part", "_base")
+
+
+def cap_per_file(listed: DataFrame, most: int, file: str = "file", rank: str = "rank") -> DataFrame:
     """Rows beyond `most` of a file move behind all others, in order; none is dropped."""
     if most == 0:
-        return ranked.withColumn("capped_rank", F.col(rank))
-    rows = ranked.withColumn("nth", F.row_number().over(Window.partitionBy(file).orderBy(rank)))
-    return rows.withColumn("capped_rank", F.row_number().over(Window.orderBy((F.col("nth") > most).cast("int"), rank)).cast("long")).drop("nth")
+        return listed.withColumn("capped_rank", F.col(rank))
+    rows = listed.withColumn("nth", F.row_number().over(Window.partitionBy(file).orderBy(rank)))
+    return ranked(rows.withColumn("late", (F.col("nth") > most).cast("int")), "capped_rank", "late", rank).drop("nth", "late")
 
 
 def interleave(lists: list[DataFrame], key: str, k: int) -> DataFrame:
@@ -85,8 +100,8 @@ def interleave(lists: list[DataFrame], key: str, k: int) -> DataFrame:
         part = d.select(key, F.col("rank").alias("turn"), F.lit(i).alias("list"))
         rows = part if rows is None else rows.unionByName(part)
     first = rows.groupBy(key).agg(F.min(F.struct("turn", "list")).alias("at"))
-    place = F.row_number().over(Window.orderBy("at.turn", "at.list"))
-    return first.withColumn("pos", place.cast("long")).where(F.col("pos") <= k).select(key, "pos")
+    first = first.orderBy("at.turn", "at.list").limit(k)  # a page of k rows is numbered in one task
+    return first.select(key, F.row_number().over(Window.orderBy("at.turn", "at.list")).cast("long").alias("pos"))
 
 
 def log_odds(items: DataFrame, delivered: DataFrame, sources: DataFrame, silent: float = 3.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import _cut
+from lodestone.operators.graph import cut
 
 
 def best_first(edges: DataFrame, seeds: DataFrame, depth: int, pops: int) -> DataFrame:
@@ -19,7 +19,7 @@ def best_first(edges: DataFrame, seeds: DataFrame, depth: int, pops: int) -> Dat
     for step in range(1, depth + 1):
         offered = F.round(F.col("potential") * F.col("conf") / 100, 12)
         reached = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), offered.alias("offer")).groupBy("node").agg(F.max("offer").alias("offer"))
-        both = _cut(best.join(reached, "node", "full"))
+        both = cut(best.join(reached, "node", "full"))
         rose = F.col("offer") > F.coalesce("potential", F.lit(-1.0))
         now = both.select("node", F.when(rose, F.col("offer")).otherwise(F.col("potential")).alias("potential"), F.when(rose, F.lit(step)).otherwise(F.col("hops")).cast("long").alias("hops"), F.coalesce(rose, F.lit(False)).alias("rose"))
         best, front = now.drop("rose"), now.where("rose").select("node", "potential")

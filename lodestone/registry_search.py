@@ -14,6 +14,9 @@ from lodestone.sources import views as V
 # ---- words and names -------------------------------------------------------------------------------------
 
 
+_STOPPED = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
 @query(V.with_views("files", "lines") + ", c AS (SELECT path, line, regexp_matches(line_text, '(^|[^A-Za-z0-9])[dD][eE][rR]([^A-Za-z0-9]|[A-Z]|$)') AS short, contains(lower(line_text), 'schaft') AS long FROM lines) SELECT * FROM c WHERE short OR long")
 def sca_06_fil_05_term_credit(spark, sf):
     t = F.col("line_text")
@@ -30,9 +33,9 @@ def sca_11_snippet(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query(V.with_views("files") + " SELECT path, sha256(path || chr(10) || text) AS digest FROM files WHERE strlen(text) <= 4096")
+@query(V.with_views("files") + " SELECT path, sha256(path || chr(10) || CASE WHEN strlen(text) <= 4096 THEN text ELSE text[:list_max(list_filter(range(1024, 4097), lambda i: strlen(text[:i]) <= 4096))] END) AS digest FROM files")
 def sca_12_rerank_document(spark, sf):
-    return V.files(spark, sf).where(F.octet_length("text") <= 4096).select("path", F.sha2(T.rerank_document(F.col("path"), F.col("text")), 256).alias("digest"))
+    return V.files(spark, sf).select("path", F.sha2(T.rerank_document(F.col("path"), F.col("text")), 256).alias("digest"))
 
 
 @query("SELECT page_id, 'open ' || url || ' as ' || page_id::VARCHAR AS filled FROM pages")
@@ -60,7 +63,7 @@ def sca_17_21_code_names(spark, sf):
     return rows.where(F.size("needles") > 0).select("id", F.array_join("n", " ").alias("names"), (F.col("all") - F.size("n")).cast("long").alias("rejected"), F.array_join("needles", " ").alias("needles"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[:8], ' ') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 6) AS w FROM conversations)")
+@query("SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[:8], ' ') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 6 AND x NOT IN (" + _STOPPED + ")) AS w FROM conversations)")
 def sca_18_why_tokens(spark, sf):
     return V.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.why_tokens(F.col("text")), " ").alias("tokens"))
 
@@ -137,10 +140,10 @@ def add_16_17_key_resolution(spark, sf):
     return structure.resolve_keys(asked, keys)
 
 
-@query("SELECT doc_id, w AS term FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_#]+'))) AS w FROM documents) WHERE length(w) >= 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")")
+@query("SELECT doc_id, w AS term, strlen(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.COMMON_NAMES) + ") AS names FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_#]+'))) AS w FROM documents) WHERE length(w) >= 3 AND w NOT IN (" + _STOPPED + ")")
 def fil_07_08_usable_terms(spark, sf):
     words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_#]+")))
-    return V.read(spark, sf, "documents").select("doc_id", words.alias("term")).where(T.usable_term(F.col("term")))
+    return V.read(spark, sf, "documents").select("doc_id", words.alias("term")).where(T.usable_term(F.col("term"))).withColumn("names", T.usable_name(F.col("term")))
 
 
 @query(V.with_views("files") + " SELECT path, (regexp_matches(path, '^src1[^/]*/') AND language = 'en' OR NOT path LIKE 'src2/%') AS held FROM files")
@@ -285,10 +288,10 @@ def joi_25_win_17_pairing(spark, sf):
 _PARENTS = "p AS (SELECT dst, min(src) AS src FROM links GROUP BY dst)"
 
 
-@query(V.with_views("links", recursive=True) + f", {_PARENTS}, c AS (SELECT p.src, p.dst, 1 AS n FROM p WHERE dst IN (11, 77) UNION SELECT p.src, p.dst, n + 1 FROM c JOIN p ON p.dst = c.src WHERE n < 4) SELECT DISTINCT src, dst FROM c")
+@query(V.with_views("links", recursive=True) + f", {_PARENTS}, c AS (SELECT p.src, p.dst, 1 AS n FROM p WHERE dst IN (11, 18) UNION SELECT p.src, p.dst, n + 1 FROM c JOIN p ON p.dst = c.src WHERE n < 4) SELECT DISTINCT src, dst FROM c")
 def joi_27_trace_labels(spark, sf):
     parents = V.links(spark, sf).groupBy("dst").agg(F.min("src").alias("src"))
-    return structure.labelled_chains(parents, spark.createDataFrame([(11,), (77,)], "node long"), 4)
+    return structure.labelled_chains(parents, spark.createDataFrame([(11,), (18,)], "node long"), 4)
 
 
 @query("WITH RECURSIVE r AS (SELECT s_suppkey AS was, s_suppkey + 7 AS now, s_suppkey AS at FROM supplier), s AS (SELECT s_suppkey AS path, s_suppkey AS name, -1::BIGINT AS since, 0 AS n FROM supplier UNION ALL SELECT s.path, r.now, r.at, n + 1 FROM s JOIN r ON r.was = s.name AND r.at > s.since WHERE n < 3) SELECT path, max_by(name, n) AS now FROM s GROUP BY path")

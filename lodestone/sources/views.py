@@ -5,7 +5,9 @@ Each view has the same definition as DuckDB SQL in SQL, so a query and its oracl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_LINES = 20
@@ -46,9 +48,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directed graph over 150 nodes, to which every order adds an edge."""
-    o = read(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 150).alias("src"), (F.col("o_orderkey") % 149).alias("dst")).where("src <> dst").distinct()
+    """Edges customer -> order -> part -> supplier -> nation -> customer of the whole tables; node() numbers the nodes."""
+    steps = (("orders", "o_custkey", 0, "o_orderkey", 1), ("lineitem", "l_orderkey", 1, "l_partkey", 2), ("lineitem", "l_partkey", 2, "l_suppkey", 3), ("supplier", "s_suppkey", 3, "s_nationkey", 4), ("customer", "c_nationkey", 4, "c_custkey", 0))
+    parts = [read(spark, sf_dir, t).select(node(a, i).alias("src"), node(b, j).alias("dst")) for t, a, i, b, j in steps]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def node(key: str, kind: int) -> Column:
+    """Node of a key: kinds are 0 customer, 1 order, 2 part, 3 supplier, 4 nation."""
+    return F.col(key).cast("long") * 8 + kind
 
 
 SQL = {
@@ -57,7 +65,7 @@ SQL = {
     "chunks": "chunks AS (SELECT path, (line - 1) // 20 AS chunk, min(line) AS start_line, max(line) AS end_line, count(*) AS n_lines FROM lines GROUP BY ALL)",
     "commit_files": "commit_files AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS file, o_orderdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "edges": "edges AS (SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_linestatus = 'F' THEN 'exact' ELSE 'heuristic' END WHEN l_returnflag = 'N' THEN 'text' ELSE 'vector' END AS map, ((l_orderkey * 7 + l_linenumber) % 100 + 1)::BIGINT AS conf, l_orderkey AS site FROM lineitem)",
-    "links": "links AS (SELECT DISTINCT o_custkey % 150 AS src, o_orderkey % 149 AS dst FROM orders WHERE o_custkey % 150 <> o_orderkey % 149)",
+    "links": "links AS MATERIALIZED (SELECT o_custkey::BIGINT * 8 AS src, o_orderkey::BIGINT * 8 + 1 AS dst FROM orders UNION SELECT l_orderkey::BIGINT * 8 + 1, l_partkey::BIGINT * 8 + 2 FROM lineitem UNION SELECT l_partkey::BIGINT * 8 + 2, l_suppkey::BIGINT * 8 + 3 FROM lineitem UNION SELECT s_suppkey::BIGINT * 8 + 3, s_nationkey::BIGINT * 8 + 4 FROM supplier UNION SELECT c_nationkey::BIGINT * 8 + 4, c_custkey::BIGINT * 8 FROM customer)",
 }
 
 
