@@ -64,3 +64,33 @@ def test_plan_errors(spark):
     for bad in ([], [{"op": "reach", "of": "$s9"}], [{"op": "no", "of": [1]}], [{"op": "union", "of": [1]}]):
         with pytest.raises(ValueError):
             run_plan(bad, links, names)
+
+
+def test_ranked_over_all(spark):
+    rows = [(i * 37 % 1001, i % 7) for i in range(1000)]
+    from lodestone.operators import ranking
+
+    got = {(r.a, r.b): r.place for r in ranking.ranked(spark.createDataFrame(rows, "a int, b int").repartition(5), "place", "b", "a").collect()}
+    assert got == {(a, b): i + 1 for i, (a, b) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert ranking.ranked(spark.createDataFrame([], "a int"), "place", "a").count() == 0
+
+
+def test_pagerank_to_a_tolerance(spark):
+    from lodestone.operators import graph
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    got = {r.node: r.rank for r in graph.pagerank(links, spark.createDataFrame([(1, 1.0)], "node long, p double"), 60, tolerance=1e-9).collect()}
+    rank = {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    for _ in range(300):
+        rank = {1: 0.15 + 0.85 * (rank[3] / 2 + rank[4]), 2: 0.85 * rank[1], 3: 0.85 * rank[2], 4: 0.85 * rank[3] / 2}
+    assert all(abs(got[n] - rank[n]) < 1e-6 for n in rank) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_hop_price_and_relative_places(spark):
+    from lodestone.operators import selection
+
+    c = spark.createDataFrame([(1, d, float(d), 0.5) for d in range(20)] + [(2, 7, 1.0, 0.9)], "src int, dst int, score double, prior double")
+    got = {(r.src, r.dst): r.price for r in selection.hop_price(c).collect()}
+    assert len(got) == 17 and got[1, 19] == 0.5 and got[1, 4] == 0.5 / 16 and got[2, 7] == 0.9
+    share = {(r.src, r.dst): r.price for r in selection.hop_price(c, relative=True).collect()}
+    assert abs(share[1, 14] - 0.5 / (1 + 5 * 8 / 20)) < 1e-12
