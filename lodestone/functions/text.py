@@ -14,6 +14,11 @@ STOP_WORDS = tuple(
     "add adds added remove removes removed fix fixes fixed use uses used make makes update updates updated change changes changed allow allows avoid avoids ensure ensures keep keeps rename renames support supports implement implements improve improves prevent prevents replace replaces refactor simplify".split()
 )
 COMMON_NAMES = tuple("default from into drop clone hash next main test tests build load read write init name path call with apply parse find self mod lib index none some true false type impl args data item node text value values error result state config output".split())
+QUESTION_STOP_WORDS = tuple(
+    "a after also an and any are as at be been before by can do does each every for from has have how if in into is it its of on once one only or per so than that the then there this through to was were what when which while whose with "
+    "between binary call called calls chain concrete containing contains down end ends function functions implementing intermediate invoking lead leads lie links list method methods name next order ordered passed path reach reaches sequence start starting step steps them trace way".split()
+)
+WHY_STOP_WORDS = tuple("because should would could which where there their these those before after being using commit commits change changed reason happened behind decide".split())
 MAX_TERMS, MAX_SYMBOLS = 24, 12
 SNIPPET_BYTES = 400
 SOURCE_PRIOR = 0.004
@@ -48,7 +53,7 @@ def symbol_terms(text: Column) -> Column:
 
 
 def question_terms(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    stop = F.array(*[F.lit(w) for w in QUESTION_STOP_WORDS])
     return F.filter(query_terms(text), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 
@@ -209,7 +214,7 @@ def literal_needles(text: Column, least: int = 4, most: int = 8) -> Column:
 def why_tokens(text: Column, most: int = 8) -> Column:
     """Names in back-ticks, then lower-cased words outside them of six letters or more that are no stop words; no word twice in any case."""
     outside = F.array_join(F.filter(F.split(text, "`"), lambda s, i: i % 2 == 0), " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    stop = F.array(*[F.lit(w) for w in WHY_STOP_WORDS])
     words = F.filter(F.transform(F.split(outside, "[^A-Za-z]+"), F.lower), lambda w: (F.length(w) >= 6) & ~F.array_contains(stop, w))
     names = code_names(text)
     fresh = F.array_distinct(F.filter(words, lambda w: ~F.array_contains(F.transform(names, F.lower), w)))

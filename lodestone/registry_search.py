@@ -63,7 +63,7 @@ def sca_17_21_code_names(spark, sf):
     return rows.where(F.size("needles") > 0).select("id", F.array_join("n", " ").alias("names"), (F.col("all") - F.size("n")).cast("long").alias("rejected"), F.array_join("needles", " ").alias("needles"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[:8], ' ') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 6 AND x NOT IN (" + _STOPPED + ")) AS w FROM conversations)")
+@query("SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[:8], ' ') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 6 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.WHY_STOP_WORDS) + ")) AS w FROM conversations)")
 def sca_18_why_tokens(spark, sf):
     return V.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.why_tokens(F.col("text")), " ").alias("tokens"))
 
