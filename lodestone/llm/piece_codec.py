@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import pick
 
 SPACE = "▁"  # stands for a space in pieces
-CACHE_PARTS = 400_000  # parts a worker remembers before it starts afresh
+CACHE_PARTS = 100_000  # parts a worker remembers before it starts afresh
 SLICE_CHARS = 1 << 21
 LONG_PART = 48
 _CUT = re.compile(f"(?<=[^ {SPACE}]) ")
@@ -249,5 +249,6 @@ def _each(docs: DataFrame, model: str, rows: Callable, kinds: list[pa.DataType],
                 got = [rows(c, x) for x in c.encode_all(s.column(1).to_pylist())]
                 cols = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
+        c.known.clear()  # an idle worker keeps no parts
 
     return pick(docs, "doc_id", "text").mapInArrow(run, schema)
