@@ -586,4 +586,4 @@ def add_35_identifiers(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", names.identifiers(F.col("text")).alias("i")).select("doc_id", F.size("i").cast("long").alias("n"), F.array_join("i", " ").alias("identifiers"))
 
 
-from lodestone import registry_choice, registry_search  # noqa: E402,F401 - their queries enter the same catalogue
+from lodestone import registry_choice, registry_nodes, registry_search  # noqa: E402,F401 - their queries enter the same catalogue
