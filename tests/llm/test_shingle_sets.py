@@ -58,5 +58,21 @@ def test_stage_removes_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [0, 2]
 
 
+def test_posts_hold_no_sketches(spark, monkeypatch):
+    """Until the shared shingles are known, a post is four numbers: where these are many, every post is shuffled."""
+    plans = []
+
+    def stash(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(shingle_sets, "stash", stash)
+    monkeypatch.setattr(shingle_sets, "checked", lambda df: df)
+    one = spark.createDataFrame([(0, b"k", 3, [1, 2], [5])], "id long, key binary, n int, first array<long>, bits array<long>")
+    shingle_sets._met(one)
+    posted = [p[p.index("Generate posexplode") :].split("Project")[1].splitlines()[0] for p in plans]
+    assert len(posted) == 2 and not any(c in p for p in posted for c in ("bits", "key"))
+
+
 def test_empty(spark):
     assert shingle_sets.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
