@@ -42,7 +42,10 @@ def hashes(text: bytes | None, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """Majority bits of the XXH64 of all shingles of lower-cased words; 0 for a text without words."""
-    h = hashes(text, size)
+    return majority(hashes(text, size))
+
+
+def majority(h: np.ndarray) -> int:
     n = len(h)
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 65536):

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from lodestone.llm import shingle_sets, simhash
+from pyspark.sql import functions as F
 
 
 def plain(text):
@@ -74,5 +75,19 @@ def test_posts_hold_no_sketches(spark, monkeypatch):
     assert len(posted) == 2 and not any(c in p for p in posted for c in ("bits", "key"))
 
 
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The groups of SimHash fingerprints alone link changed copies at two bits or fewer; what they link needs no further search."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "tail"])), (2, "else"), (3, " ".join(words[:1500]))]
+    sets = [shingle_sets.shingles(t.encode()) for _, t in rows]
+    assert (simhash.majority(sets[0]) ^ simhash.majority(sets[1])).bit_count() <= 2
+    one = spark.createDataFrame([(shingle_sets._key(s), simhash.majority(s) - (1 << 64) * (simhash.majority(s) >> 63)) for s in sets], "key binary, fp long")
+    got = [{bytes(r.a), bytes(r.b)} for r in shingle_sets._near_fingerprints(one).collect()]
+    assert got == [{shingle_sets._key(sets[0]), shingle_sets._key(sets[1])}]
+    monkeypatch.setattr(shingle_sets, "_may", lambda x, y: F.lit(False))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, shingle_sets.near_duplicates(df).collect())) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_empty(spark):
     assert shingle_sets.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
