@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,13 +75,29 @@ def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the folder that the session names. Only where one machine does all may it be a temporary one."""
+    _shared(df)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the same folder.
+
+    Unlike a checkpoint it has the size of its files, so that small ones are broadcast, and none of the constraints of its plan: over a
+    loop of joins these become filters of nested expressions that double with each step.
+    """
+    path = f"{_shared(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def reverse(links: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import stored
+
 NAME = r"(?:`[^`]+`|[A-Za-z0-9_+$-]+)"
 RACY_SECONDS = 3  # fixed value: a younger stamp can hide a second write
 
@@ -74,20 +76,22 @@ def gold_query(runs: DataFrame, gold: DataFrame) -> DataFrame:
 def spelled(states: DataFrame, paths: DataFrame) -> DataFrame:
     """(path_id, found): does a chain of states (id, node, parent, depth) spell the path's nodes, the seed first.
 
-    One join a step, backwards from states of the path's last node and depth; chains that stop to fit drop out at once.
+    Chains grow from the seeds by one join of child and parent a step, up to the longest path's length; then paths meet the distinct
+    chains as wholes. So rows grow with states and steps, not with how many states share a node.
     """
     steps = paths.agg(F.max(F.size("nodes"))).first()[0] or 0
-    size = F.size("nodes")
-    ends = paths.where(size > 0).withColumn("want", F.element_at("nodes", -1)).withColumn("at", size - 1)
-    live = ends.join(states, (F.col("want") == F.col("node")) & (F.col("at") == F.col("depth"))).select("path_id", "nodes", "at", "parent")
-    done = None
-    for _ in range(steps):
-        whole = live.where("at = 0 and parent is null").select("path_id")
-        done = whole if done is None else done.unionByName(whole)
-        up = states.select("id", "node", F.col("parent").alias("above"))
-        live = live.where("at > 0").join(up, (F.col("parent") == F.col("id")) & (F.col("node") == F.element_at("nodes", F.greatest(F.col("at"), F.lit(1)))))
-        live = live.select("path_id", "nodes", (F.col("at") - 1).alias("at"), F.col("above").alias("parent"))
-    if done is None:
+    known = states.where("node is not null").select("id", "node", "parent", "depth")
+    level, chains = known.where("parent is null").withColumn("chain", F.array("node")).select("id", "chain", "depth"), None
+    for step in range(steps):
+        if step:
+            above = level.select(F.col("id").alias("parent"), F.col("chain").alias("before"))
+            level = known.join(above, "parent").select("id", F.concat("before", F.array("node")).alias("chain"), "depth")
+        level = stored(level)
+        if level.isEmpty():
+            break
+        ends = level.where(F.col("depth") == step).select(F.col("chain").alias("nodes"))
+        chains = ends if chains is None else chains.unionByName(ends)
+    if chains is None:
         return paths.select("path_id", F.lit(False).alias("found"))
-    hit = done.distinct().withColumn("found", F.lit(True))
-    return paths.select("path_id").join(hit, "path_id", "left").select("path_id", F.coalesce("found", F.lit(False)).alias("found"))
+    hit = chains.distinct().withColumn("found", F.lit(True))
+    return paths.join(hit, "nodes", "left").select("path_id", F.coalesce("found", F.lit(False)).alias("found"))

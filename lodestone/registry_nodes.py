@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import query
 from lodestone.operators import nodes
+from lodestone.operators.graph import stored
 from lodestone.sources import views as V
 
 
@@ -65,9 +66,9 @@ def gra_13_spelled(spark, sf):
     i = F.col("p_partkey")
     up = lambda x: F.floor(x / 8)
     p = V.read(spark, sf, "part").where("p_partkey > 0").select(i.alias("id"), F.col("p_size").alias("node"), F.when(i >= 8, up(i)).alias("parent"))
-    c = level = p.where("parent is null").withColumn("chain", F.array("node"))
+    c = level = stored(p.where("parent is null").withColumn("chain", F.array("node")))
     for _ in range(8 * 21):
-        level = p.join(level.select(F.col("id").alias("parent"), "chain"), "parent").withColumn("chain", F.concat("chain", F.array("node"))).select(*c.columns)
+        level = stored(p.join(level.select(F.col("id").alias("parent"), "chain"), "parent").withColumn("chain", F.concat("chain", F.array("node"))).select(*c.columns))
         if level.isEmpty():
             break
         c = c.unionByName(level)

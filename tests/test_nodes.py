@@ -36,3 +36,36 @@ def test_spelled(spark):
     paths = spark.createDataFrame([(1, [5, 6, 7]), (2, [6, 7]), (3, [6]), (4, []), (5, [5, 7])], "path_id int, nodes array<int>")
     assert {r.path_id: r.found for r in nodes.spelled(states, paths).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
     assert nodes.spelled(states, paths.limit(0)).count() == 0
+
+
+def test_spelled_of_many_states_of_one_node(spark):
+    """4,000 states and paths share a node: every path met every state of it."""
+    states = spark.range(4000).select("id", F.lit(5).cast("long").alias("node"), F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("parent"), (F.col("id") > 0).cast("int").alias("depth"))
+    paths = spark.range(4000).select(F.col("id").alias("path_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(5), F.lit(5))).otherwise(F.array(F.lit(5), F.lit(6))).alias("nodes"))
+    got = nodes.spelled(states, paths)
+    assert _most_rows(got) <= 8000
+    assert got.where("found").count() == 2000
+
+
+def test_spelled_needs_the_whole_chain(spark):
+    """A chain must begin at a seed, be as long as its end says, and have no unknown node."""
+    rows = [(0, 5, None, 0), (1, 6, 0, 2), (2, None, 0, 1), (3, 7, 2, 2), (4, 8, 9, 1), (9, 5, 8, 0)]
+    states = spark.createDataFrame(rows, "id int, node int, parent int, depth int")
+    paths = spark.createDataFrame([(1, [5, 6]), (2, [5, None]), (3, [5, None, 7]), (4, [5, 8]), (5, None), (6, [5])], "path_id int, nodes array<int>")
+    assert {r.path_id: r.found for r in nodes.spelled(states, paths).collect()} == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
+
+
+def _most_rows(df):
+    """The most rows that a join of the plan gave."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan.append(p.plan())
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
