@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.numbers import round_half
+
 
 def pair_reports(base: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, at, value) of two runs, the k-th of a key with the k-th: keys, k, base, cand. What has no partner stays, with null."""
@@ -21,13 +23,13 @@ def refuse(pool: DataFrame, weights: dict[str, float], rrf_k: int, window: int,
     weight / (rrf_k + rerank_rank) if `vote` is given. Adds fusion, verified (the recorded score of these weights) and place.
     """
     part = sum((F.coalesce(F.lit(w) / (rrf_k + F.col(f"{c}_rank")), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    rows = pool.withColumn("fusion", F.round(part, 9)).withColumn("verified", F.col("fusion") == F.col("recorded"))
+    rows = pool.withColumn("fusion", round_half(part, 9)).withColumn("verified", F.col("fusion") == F.col("recorded"))
     of = lambda *o: F.row_number().over(Window.partitionBy("query").orderBy(*o))
     nth = F.row_number().over(Window.partitionBy("query", "file").orderBy(F.desc("fusion"), "item"))
     rows = rows.withColumn("back", (nth > cap).cast("int") if cap else F.lit(0)).withColumn("cut", of("back", F.desc("fusion"), "item"))
     voted = F.col("fusion") + (F.coalesce(F.lit(vote) / (rrf_k + F.col("rerank_rank")), F.lit(0.0)) if vote is not None else F.lit(0.0))
     inside = F.col("cut") <= window
-    rows = rows.withColumn("final", F.when(inside, F.round(voted, 9)))
+    rows = rows.withColumn("final", F.when(inside, round_half(voted, 9)))
     order = (F.desc_nulls_last("final"), "cut") if vote is not None else ("cut",)
     return rows.withColumn("place", of(*order).cast("long")).select("query", "item", "fusion", "verified", "place")
 
