@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ RRF_K = 60
 def nearest(queries: DataFrame, rows: DataFrame, k: int, tile: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): exact neighbours by cosine to six places, ties to the smaller id, a query's own row left out.
 
-    queries: (query_id, q), rows: (vec_id, v), ids long. Queries go to the tasks a tile of fixed size at a time; each batch of rows
-    is one matrix product, of which only its k best for each query leave the task. Null, empty and non-finite vectors take no part.
+    queries: (query_id, q), rows: (vec_id, v), ids long. Queries go to the tasks a tile of fixed size at a time; a task
+    multiplies blocks of at most BLOCK scores and keeps the k best for each query, which alone leave it. Null, empty and non-finite vectors take no part.
     """
     ok = lambda c: (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     rows, held, found = rows.where(ok("v")).select("vec_id", "v"), [], None
@@ -41,24 +42,39 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, tile: int = 4096) -> Da
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+BLOCK = 1 << 20  # scores that a task holds at a time
+
+
 def _tile_search(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, q = sent.value
+        step = max(1, BLOCK // max(1, len(q)))
+        # the best so far, sorted by place of the query, score and id; least is the score that still counts
+        at, best, best_ids, least = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.full(len(q), -2.0)
         for b in batches:
-            vectors = [v for v in b.column(1).to_pylist()]
-            same = [i for i, v in enumerate(vectors) if len(v) == q.shape[1]]
-            if not same or not len(q):
+            same = pc.equal(pc.list_value_length(b.column(1)), q.shape[1])
+            ids = b.column(0).filter(same).to_numpy(zero_copy_only=False)
+            if not len(ids) or not len(q):
                 continue
-            ids, x = b.column(0).to_numpy(zero_copy_only=False)[same], np.array([vectors[i] for i in same], np.float64)
-            s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-            s[queries[:, None] == ids[None, :]] = -np.inf
-            kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-            i, j = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
-            order = np.lexsort((ids[j], -s[i, j], i))
-            i, j = i[order], j[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[best], j[best]
-            yield pa.RecordBatch.from_arrays([pa.array(queries[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+            vectors = b.column(1).filter(same).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for start in range(0, len(ids), step):
+                x, own = vectors[start : start + step].astype(np.float64), ids[start : start + step]
+                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                np.round(s, 6, out=s)
+                s[queries[:, None] == own[None, :]] = -np.inf
+                if not len(at) and len(own) > k:
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                i, j = np.nonzero(s >= least[:, None])
+                if not len(i):
+                    continue
+                at, best, best_ids = np.concatenate([at, i]), np.concatenate([best, s[i, j]]), np.concatenate([best_ids, own[j]])
+                order = np.lexsort((best_ids, -best, at))
+                order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < k]
+                at, best, best_ids = at[order], best[order], best_ids[order]
+                full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+                least[at[full]] = best[full]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(queries[at]), pa.array(best_ids), pa.array(best)], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -60,3 +60,30 @@ def test_nearest_ties_and_odd_vectors(spark):
         got = sorted((r.query_id, r["rank"], r.vec_id) for r in ranking.nearest(*args, 2, tile).collect())
         assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
     assert ranking.nearest(args[0].where("false"), args[1], 2).isEmpty()
+
+
+def test_tile_search_is_bounded():
+    """2,000 queries and batches of 10,000 rows, all alike or not: the k best of the whole task, in a memory of some blocks."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 20_000
+    x = np.round(rng.normal(size=(n, 8)), 1).astype(np.float32)
+    x[:5000] = 1.0
+    q = x[:2000:1].astype(np.float64)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    ids = np.arange(n) * 7 % n
+    batches = [pa.record_batch([pa.array(ids[i : i + 10_000]), pa.FixedSizeListArray.from_arrays(x[i : i + 10_000].reshape(-1), 8).cast(pa.list_(pa.float32()))], ["vec_id", "v"]) for i in (0, 10_000)]
+    tracemalloc.start()
+    out = list(ranking._tile_search(SimpleNamespace(value=(ids[:2000], q)), 3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 6000 and peak < 128 << 20
+    for t in (0, 1, 1999):
+        s = np.round(q[t] @ (x / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float64)).T, 6)
+        want = [(int(ids[j]), float(s[j])) for j in sorted(range(n), key=lambda j: (-s[j], ids[j])) if ids[j] != ids[t]][:3]
+        got = [(r["vec_id"], r["score"]) for b in out for r in b.to_pylist() if r["query_id"] == ids[t]]
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([v for _, v in got], [v for _, v in want], atol=1e-9)
