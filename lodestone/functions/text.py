@@ -191,7 +191,8 @@ def symbol_queries(text: Column) -> Column:
     """term# for each query term, before it the singular of plurals over four bytes; repeats in a row once, at most eight."""
     plural = lambda w: F.endswith(w, F.lit("s")) & (F.octet_length(w) > 4)
     both = F.flatten(F.transform(query_terms(text), lambda w: F.when(plural(w), F.array(F.concat(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("#")), F.concat(w, F.lit("#")))).otherwise(F.array(F.concat(w, F.lit("#"))))))
-    return F.slice(F.filter(both, lambda w, i: (i == 0) | (w != F.get(both, i - 1))), 1, 8)
+    # as the item of an array the list has a name; in the inner function itself it would be made anew for each of its words
+    return F.get(F.transform(F.array(both), lambda b: F.slice(F.filter(b, lambda w, i: (i == 0) | (w != F.get(b, i - 1))), 1, 8)), 0)
 
 
 def code_spans(text: Column) -> Column:

@@ -55,7 +55,9 @@ def _asked(spark, sf):
 
 @query()
 def sca_14_symbol_queries(spark, sf):
-    return _asked(spark, sf).select("id", F.array_join(T.symbol_queries(F.col("q")), " ").alias("queries"))
+    # the table is few megabytes for its rows, so few tasks read it
+    asked = _asked(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return asked.select("id", F.array_join(T.symbol_queries(F.col("q")), " ").alias("queries"))
 
 
 @query("SELECT p_partkey AS id, p_type || '::' || split_part(p_name, ' ', 2) AS names, 1::BIGINT AS rejected, split_part(p_name, ' ', 2) AS needles FROM part WHERE length(split_part(p_name, ' ', 2)) >= 4")

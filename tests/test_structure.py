@@ -43,6 +43,13 @@ def test_symbol_queries_and_declarations(spark):
     assert row.why == ["Foo::bar", "things", "parsers"]  # "change" is one of the fixed stop words
 
 
+def test_symbol_queries_make_the_list_once(spark):
+    """The list of a text was made anew for each of its words."""
+    df = spark.createDataFrame([("buses buses bus gets",), ("",), (None,)], "t string").select(T.symbol_queries(F.col("t")).alias("q"))
+    assert [r.q for r in df.collect()] == [["buse#", "buses#", "bus#", "gets#"], [], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # words, and the parts of a word
+
+
 def test_bad_predicates():
     deep = {"kind": "x"}
     for _ in range(8):
