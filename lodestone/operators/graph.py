@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,18 +62,32 @@ def touches(commit_files: DataFrame) -> DataFrame:
 
 
 def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, hops): least number of hops from any seed, by frontier steps; each step is cut off from the last by a checkpoint."""
-    seen = seeds.select("node", F.lit(0).cast("long").alias("hops")).distinct()
-    front = seen
+    """(node, hops): least number of hops from any seed, by frontier steps, each stored. Links may repeat.
+
+    A small front goes to the links, which then are only scanned; a large one is joined by a shuffle.
+    """
+    front = seen = stored(seeds.select("node", F.lit(0).cast("long").alias("hops")).distinct())
     for step in range(1, depth + 1):
-        new = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = new.join(seen, "node", "left_anti").withColumn("hops", F.lit(step).cast("long"))
+        front = stored(_next(links, front, seen).withColumn("hops", F.lit(step).cast("long")))
         seen = seen.unionByName(front)
-        if step % 3 == 0:
-            seen, front = cut(seen), cut(front)
+        if front.isEmpty():
+            break
     return seen
 
 
+SMALL = 200_000  # nodes of a front that is broadcast
+
+
+def small(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+
+
+def _next(links: DataFrame, front: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node): where the links of the front lead that was not seen."""
+    new = links.join(small(front.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    return new.join(small(seen.select("node")), "node", "left_anti")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the folder that the session names. Only where one machine does all may it be a temporary one."""
     _shared(df)
@@ -110,11 +125,34 @@ def rings(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def on_shortest_paths(links: DataFrame, start: DataFrame, end: DataFrame, depth: int) -> DataFrame:
-    """(node, hops): nodes on any shortest path from start to end."""
-    ahead, back = reach(links, start, depth), reach(reverse(links), end, depth).select("node", F.col("hops").alias("left"))
-    both = ahead.join(back, "node").withColumn("whole", F.col("hops") + F.col("left"))
-    least = both.agg(F.min("whole").alias("least"))
-    return both.crossJoin(F.broadcast(least)).where("whole = least").select("node", "hops")
+    """(node, hops): nodes on any shortest path from start to end that are at most `depth` from either.
+
+    Layers grow from both sides, always from the smaller front, until two meet; from there the paths are followed back through the layers.
+    """
+    ways = links, reverse(links)
+    layers = [[stored(d.where("node is not null").select("node").distinct())] for d in (start, end)]
+    seen, sizes = [layers[0][0], layers[1][0]], [layers[0][0].count(), layers[1][0].count()]
+    met = stored(seen[0].join(small(seen[1]), "node", "left_semi"))
+    while met.isEmpty():
+        open_sides = [i for i in (0, 1) if len(layers[i]) <= depth]
+        if not open_sides or not min(sizes):
+            return met.select("node", F.lit(0).cast("long").alias("hops"))
+        i = min(open_sides, key=lambda i: sizes[i])
+        front = stored(_next(ways[i], layers[i][-1], seen[i]))
+        layers[i].append(front)
+        seen[i], sizes[i] = seen[i].unionByName(front), front.count()
+        met = stored(layers[1 - i][-1].join(small(front), "node", "left_semi"))
+    here, whole = len(layers[0]) - 1, len(layers[0]) + len(layers[1]) - 2
+    found = {here: met}
+    for side, step in ((0, -1), (1, 1)):
+        for hops in range(here + step, whole + 1 if step > 0 else -1, step):
+            if not whole - depth <= hops <= depth:
+                break
+            last, at = found[hops - step], hops if side == 0 else whole - hops
+            near = ways[1 - side].join(small(last.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))
+            found[hops] = stored(near.join(small(layers[side][at]), "node", "left_semi").distinct())
+    parts = [d.select("node", F.lit(h).cast("long").alias("hops")) for h, d in found.items() if whole - depth <= h <= depth]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pagerank(links: DataFrame, jump: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:

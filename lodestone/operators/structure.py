@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import small, stored
+
 
 def bins(start: Column, end: Column, width: int) -> Column:
     """The bins of `width` that start..end (whole numbers, inclusive) touches."""
@@ -89,11 +91,14 @@ def resolve_keys(asked: DataFrame, keys: DataFrame) -> DataFrame:
     return exact.unionByName(asked.join(bare, "asked").select("asked", "key_id")).distinct()
 
 
-def labelled_chains(parents: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
-    """(src, dst): the hops on the chains that lead up from gold nodes; parents: (src, dst), one row of each dst. At most `depth` rounds."""
-    front, out = gold.select(F.col("node").alias("dst")).distinct(), None
+def labelled_chains(links: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
+    """(src, dst): the hops on the chains that lead up from gold nodes, each node by the least src of its links. At most `depth` rounds.
+
+    Only the links of the nodes of a round are grouped; links may repeat.
+    """
+    front, out = stored(gold.select(F.col("node").alias("dst")).distinct()), None
     for _ in range(depth):
-        hop = parents.join(front, "dst").select("src", "dst")
+        hop = stored(links.join(small(front), "dst", "left_semi").groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
         out = hop if out is None else out.unionByName(hop)
         front = hop.select(F.col("src").alias("dst")).distinct()
     return out.distinct()

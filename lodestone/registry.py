@@ -360,22 +360,22 @@ _REACH = "{name} AS (SELECT {seed}::BIGINT AS node, 0 AS hops UNION SELECT {to},
 
 @query(V.with_views("links", recursive=True) + ", " + _REACH.format(name="r", seed=8, to="dst", at="src", depth=3) + " SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY node")
 def gra_05_reach(spark, sf):
-    return graph.reach(V.links(spark, sf), _seed(spark, 8), 3)
+    return graph.reach(V.hops(spark, sf), _seed(spark, 8), 3)
 
 
 @query(V.with_views("links", recursive=True) + ", " + _REACH.format(name="r", seed=11, to="src", at="dst", depth=3) + " SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY node")
 def gra_06_reverse_reach(spark, sf):
-    return graph.reach(graph.reverse(V.links(spark, sf)), _seed(spark, 11), 3)
+    return graph.reach(graph.reverse(V.hops(spark, sf)), _seed(spark, 11), 3)
 
 
 @query(V.with_views("links") + ", r1 AS (SELECT DISTINCT src AS node FROM links WHERE dst = 18), r2 AS (SELECT DISTINCT src AS node FROM links WHERE dst IN (SELECT node FROM r1)) SELECT node, 1::BIGINT AS ring FROM r1 WHERE node <> 18 UNION ALL SELECT node, 2 FROM r2 WHERE node <> 18 AND node NOT IN (SELECT node FROM r1)")
 def gra_08_rings(spark, sf):
-    return graph.rings(V.links(spark, sf), _seed(spark, 18))
+    return graph.rings(V.hops(spark, sf), _seed(spark, 18))
 
 
 @query(V.with_views("links", recursive=True) + ", " + _REACH.format(name="r", seed=8, to="dst", at="src", depth=4) + ", " + _REACH.format(name="b", seed=12, to="src", at="dst", depth=4) + ", x AS (SELECT node, min(r.hops) AS hops, min(r.hops) + min(b.hops) AS whole FROM r JOIN b USING (node) GROUP BY node) SELECT node, hops::BIGINT AS hops FROM x WHERE whole = (SELECT min(whole) FROM x)")
 def gra_07_shortest_paths(spark, sf):
-    return graph.on_shortest_paths(V.links(spark, sf), _seed(spark, 8), _seed(spark, 12), 4)
+    return graph.on_shortest_paths(V.hops(spark, sf), _seed(spark, 8), _seed(spark, 12), 4)
 
 
 _PR_STEP = "r{i} AS MATERIALIZED (SELECT p.node, 0.15 * p.p + 0.85 * (coalesce(sum(l.rank / l.n), 0) + any_value(lost) * p.p) AS rank FROM p LEFT JOIN (SELECT dst, rank, n FROM links JOIN o ON links.src = o.src JOIN r{j} ON r{j}.node = links.src) l ON l.dst = p.node, (SELECT coalesce(sum(rank), 0) AS lost FROM r{j} WHERE node NOT IN (SELECT src FROM o)) GROUP BY p.node, p.p)"
@@ -389,7 +389,7 @@ def rnk_05_pagerank(spark, sf):
 
 @query(V.with_views("links") + ", a AS (SELECT DISTINCT src AS node FROM links WHERE dst = 18 AND src <> 18), b AS (SELECT DISTINCT dst AS node FROM links WHERE src IN (8, 24) AND dst NOT IN (8, 24)) SELECT 3::BIGINT AS step, node FROM (SELECT node FROM a UNION SELECT node FROM b)")
 def gra_12_plan(spark, sf):
-    links = V.links(spark, sf)
+    links = V.hops(spark, sf)
     names = links.select(F.col("src").alias("node"), F.concat(F.lit("n"), F.col("src")).alias("name")).distinct()
     return run_plan([{"op": "closure", "of": [18]}, {"op": "reach", "of": [8, 24], "depth": 1}, {"op": "union", "of": "$s1", "with": ["$s2"]}], links, names)
 

@@ -293,8 +293,7 @@ _PARENTS = "p AS (SELECT dst, min(src) AS src FROM links GROUP BY dst)"
 
 @query(V.with_views("links", recursive=True) + f", {_PARENTS}, c AS (SELECT p.src, p.dst, 1 AS n FROM p WHERE dst IN (11, 18) UNION SELECT p.src, p.dst, n + 1 FROM c JOIN p ON p.dst = c.src WHERE n < 4) SELECT DISTINCT src, dst FROM c")
 def joi_27_trace_labels(spark, sf):
-    parents = V.links(spark, sf).groupBy("dst").agg(F.min("src").alias("src"))
-    return structure.labelled_chains(parents, spark.createDataFrame([(11,), (18,)], "node long"), 4)
+    return structure.labelled_chains(V.hops(spark, sf), spark.createDataFrame([(11,), (18,)], "node long"), 4)
 
 
 @query("WITH RECURSIVE r AS (SELECT s_suppkey AS was, s_suppkey + 7 AS now, s_suppkey AS at FROM supplier), s AS (SELECT s_suppkey AS path, s_suppkey AS name, -1::BIGINT AS since, 0 AS n FROM supplier UNION ALL SELECT s.path, r.now, r.at, n + 1 FROM s JOIN r ON r.was = s.name AND r.at > s.since WHERE n < 3) SELECT path, max_by(name, n) AS now FROM s GROUP BY path")

@@ -49,9 +49,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges customer -> order -> part -> supplier -> nation -> customer of the whole tables; node() numbers the nodes."""
+    return hops(spark, sf_dir).distinct()
+
+
+def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges as often as the tables have them, for operators that need no distinct ones: no shuffle of all edges."""
     steps = (("orders", "o_custkey", 0, "o_orderkey", 1), ("lineitem", "l_orderkey", 1, "l_partkey", 2), ("lineitem", "l_partkey", 2, "l_suppkey", 3), ("supplier", "s_suppkey", 3, "s_nationkey", 4), ("customer", "c_nationkey", 4, "c_custkey", 0))
     parts = [read(spark, sf_dir, t).select(node(a, i).alias("src"), node(b, j).alias("dst")) for t, a, i, b, j in steps]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def node(key: str, kind: int) -> Column:
