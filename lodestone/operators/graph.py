@@ -55,10 +55,14 @@ def touched_by(commit_files: DataFrame, newest: int = 20) -> DataFrame:
 
 
 def touches(commit_files: DataFrame) -> DataFrame:
-    """(commit, file, conf): certain up to eight files, then 800 / files, at least 10."""
-    sizes = commit_files.groupBy("commit").agg(F.count("*").alias("n"))
+    """(commit, file, conf): certain up to eight files, then 800 / files, at least 10.
+
+    Sizes are counted over each commit's own rows, so that the files are not made and shuffled a second time to be joined with them.
+    """
+    n = F.count("*").over(Window.partitionBy("commit"))
+    rows = commit_files.select("commit", "file", n.alias("n"))
     conf = F.when(F.col("n") <= 8, 100).otherwise(F.greatest(F.lit(10), F.least(F.lit(100), F.floor(F.lit(800) / F.col("n"))))).cast("long")
-    return commit_files.join(sizes, "commit").select("commit", "file", conf.alias("conf"))
+    return rows.select("commit", "file", conf.alias("conf"))
 
 
 def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_LINES = 20
+TASK_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits that touch parts."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    # dealt by the order, of a fixed number of rows a task, for the distinct rows, the join and what counts by commit
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS)
+    li = rows.repartition(n, "l_orderkey").distinct()
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"), F.col("o_orderdate").cast("date").alias("day"))
 
 

@@ -55,3 +55,13 @@ def _shuffled(sc):
     sc.listenerBus().waitUntilEmpty()
     stages = sc.statusStore().executorList(False)
     return sum(stages.apply(i).totalShuffleWrite() for i in range(stages.size()))
+
+
+def test_commit_files_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks hold a fixed number of rows, and sizes need no second pass over the files."""
+    from lodestone.sources import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 200)
+    got = graph.touches(views.commit_files(spark, "/root/testdata/sf0.001"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan and "], 3" in plan.replace("#", "") and plan.count("Relation [l_orderkey") == 1
